@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, license_scan, simhash, suffix_dedup, topk, url_filter
+from . import bpe, decontaminate, html_extract, langid, license_scan, line_dedup, simhash, suffix_dedup, topk, url_filter
 from ._common import read_table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -57,6 +57,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
