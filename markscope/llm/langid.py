@@ -210,3 +210,17 @@ def identify_language(df: DataFrame, model: LanguageFilter, id_col: str = "doc_i
 def held_out(id_col: str = "doc_id"):
     """True for ids that are never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def keep_identified(df: DataFrame, model: LanguageFilter, min_score: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose text has a language with a score of ``min_score`` or more; all columns are kept."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            got = [m.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in got], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -12,7 +12,7 @@ Queries and candidates meet in tiles: blocks of ``QUERY_BLOCK`` queries by slice
 neither side is broadcast or held whole; each tile gives at most k rows a query, which are ranked at the end.
 
 Cases: vectors that are null, or hold null, NaN or infinite components, take no part; vectors of another length than the
-query's are no candidates; a query is never its own candidate, but other rows with its id's vector are; fewer than k
+query's are no candidates; rows of a query's id are none either; a repeated query row asks once; fewer than k
 candidates give fewer rows; sums beyond 2**53 are computed in Python integers; an empty table gives an empty result.
 """
 
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
     n = rows.groupBy().agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q")).first()
     q_blocks, slices = -(-n["q"] // QUERY_BLOCK) or 1, -(-n["n"] // SLICE) or 1
     spread = F.xxhash64("id", F.lit(5))
-    queries = rows.where("is_query").withColumn("qb", F.pmod(spread, F.lit(q_blocks))).withColumn("sl", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    queries = rows.where("is_query").dropDuplicates(["id", "v"]).withColumn("qb", F.pmod(spread, F.lit(q_blocks))).withColumn("sl", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     others = rows.withColumn("sl", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(slices))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     key = ["dim", "qb", "sl"]
     queries = queries.select("dim", F.col("qb").cast("long").alias("qb"), F.col("sl").cast("long").alias("sl"), "id", "v")
