@@ -173,11 +173,30 @@ def hits_of(text: str | None, aggressive: bool = False, strip_glue: bool = False
     return sorted(((cp, kind, len(at), at[:10]) for (cp, kind), at in found.items()), key=lambda x: (-x[2], x[0]))
 
 
+HITS = "array<struct<cp:int,label:string,kind:string,count:int,sample_offsets:array<int>>>"
+
+
+def label(cp: int) -> str:
+    """Name shown for a code point, after its number."""
+    if cp in C.NAMES:
+        name = C.NAMES[cp]
+    elif 0xFE00 <= cp <= 0xFE0F:
+        name = f"VARIATION SELECTOR-{cp - 0xFE00 + 1}"
+    elif cp in _R["VS_SUPPLEMENT"]:
+        name = f"VARIATION SELECTOR-{cp - 0xE0100 + 17}"
+    elif cp in _R["TAGS"] or cp == 0xE0001:
+        name = "TAG CHARACTER"
+    else:
+        kinds = (("PRIVATE_USE", "PRIVATE USE"), ("NONCHARACTERS", "NONCHARACTER"), ("RESERVED", "RESERVED DEFAULT-IGNORABLE"))
+        name = next((text for r, text in kinds if cp in _R[r]), f"CONFUSABLE OF '{C.CONFUSABLES[cp]}'" if cp in C.CONFUSABLES else "UNKNOWN")
+    return f"U+{cp:04X} {name}"
+
+
 def inspect_udf(aggressive: bool = False, strip_glue: bool = False):
     """A pandas UDF: text -> array of hits."""
 
-    @F.pandas_udf("array<struct<cp:int,kind:string,count:int,sample_offsets:array<int>>>")
+    @F.pandas_udf(HITS)
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"cp": c, "kind": k, "count": n, "sample_offsets": at} for c, k, n, at in hits_of(t, aggressive, strip_glue)] for t in text])
+        return pd.Series([[{"cp": c, "label": label(c), "kind": k, "count": n, "sample_offsets": at} for c, k, n, at in hits_of(t, aggressive, strip_glue)] for t in text])
 
     return run

@@ -51,34 +51,50 @@ def strip_kind(cp: Column) -> Column:
     )
 
 
-def _joining(cp: Column) -> Column:
-    out = F.when(F.lit(False), "")
-    for name, ranges in C.JOINING.items():
-        out = out.when(within(cp, ranges), name)
-    return out
+#: What a neighbour can be, as bits of a class number: each is worked out once a character, not once a rule.
+_CLASSES = {name: 1 << i for i, name in enumerate(["CJK", "MONGOLIAN", "EMOJI_BASE", "MONGOLIAN_LETTERS", "KHMER_LETTERS", "JAMO", *C.JOINING])}
+_SCRIPTS = [1 << (len(_CLASSES) + i) for i in range(len(C.LAYOUT))]
+
+
+def classes(cp: Column) -> Column:
+    """The class number of a code point; ASCII letters and the like take the first branch."""
+    bits = F.lit(0)
+    for name, bit in _CLASSES.items():
+        ranges = C.JOINING.get(name) or getattr(C, name)
+        bits = bits + F.when(within(cp, ranges), bit).otherwise(0)
+    for bit, (_, script) in zip(_SCRIPTS, C.LAYOUT, strict=True):
+        bits = bits + F.when(within(cp, [script]), bit).otherwise(0)
+    digit = cp.isin(0x23, 0x2A) | cp.between(0x30, 0x39)
+    return F.when(cp < 0xA0, F.when(digit, _CLASSES["EMOJI_BASE"]).otherwise(0)).otherwise(bits)
+
+
+def _is(number: Column, name: str) -> Column:
+    return F.coalesce(number.bitwiseAND(F.lit(_CLASSES[name])) != 0, F.lit(False))
 
 
 def _kept_beside(cp: Column, before: Column, after: Column, kept: Column | None, o: Options) -> Column:
-    """True if neighbours make the character part of the text."""
+    """True if neighbours, given by class numbers, make the character part of the text."""
     if o.strip_glue:
         return F.lit(False)
+    both = sum(_CLASSES[n] for n in C.JOINING)
     keep = (
-        (within(cp, C.VS_SUPPLEMENT) | within(cp, C.VS_CJK)) & within(before, C.CJK)
-        | within(cp, C.MONGOLIAN_VS) & within(before, C.MONGOLIAN)
-        | within(cp, [(0xFE0E, 0xFE0F)]) & within(before, C.EMOJI_BASE)
-        | within(cp, C.JOINERS) & F.coalesce(_joining(before) == _joining(after), F.lit(False))
+        within(cp, [*C.VS_SUPPLEMENT, *C.VS_CJK]) & _is(before, "CJK")
+        | within(cp, C.MONGOLIAN_VS) & _is(before, "MONGOLIAN")
+        | within(cp, [(0xFE0E, 0xFE0F)]) & _is(before, "EMOJI_BASE")
+        | within(cp, C.JOINERS) & F.coalesce(before.bitwiseAND(after).bitwiseAND(F.lit(both)) != 0, F.lit(False))
         | within(cp, C.ORTHOGRAPHIC_CF)
         | within(cp, C.TAGS) & F.col("valid_tag")
     )
-    for control, script in C.LAYOUT:
-        keep = keep | within(cp, [control]) & (within(before, [script]) | within(after, [script]))
+    for bit, (control, _) in zip(_SCRIPTS, C.LAYOUT, strict=True):
+        beside = F.coalesce(before, F.lit(0)).bitwiseOR(F.coalesce(after, F.lit(0))).bitwiseAND(F.lit(bit)) != 0
+        keep = keep | within(cp, [control]) & beside
     if kept is not None:
         keep = (
             keep
-            | (cp == 0x200D) & within(kept, C.EMOJI_BASE) & within(after, C.EMOJI_BASE)
-            | within(cp, C.MONGOLIAN_VS) & within(kept, C.MONGOLIAN_LETTERS)
-            | within(cp, C.KHMER_VOWELS) & within(kept, C.KHMER_LETTERS)
-            | within(cp, C.HANGUL_FILLERS) & within(kept, C.JAMO)
+            | (cp == 0x200D) & _is(kept, "EMOJI_BASE") & _is(after, "EMOJI_BASE")
+            | within(cp, C.MONGOLIAN_VS) & _is(kept, "MONGOLIAN_LETTERS")
+            | within(cp, C.KHMER_VOWELS) & _is(kept, "KHMER_LETTERS")
+            | within(cp, C.HANGUL_FILLERS) & _is(kept, "JAMO")
         )
     return keep
 
@@ -133,12 +149,14 @@ def decide(docs: DataFrame, o: Options = INSPECT, id_col: str = "doc_id", text:
     # a flag's tags: what stands before the run of tags is a black flag, what stands after it ends them
     run_before = F.last(F.when(~in_run, cp), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     run_after = F.last(F.when(~in_run, cp), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    chars = chars.withColumn("before", F.lag("cp").over(w)).withColumn("after", F.lead("cp").over(w)).withColumn("_rb", run_before).withColumn("_ra", run_after)
-    ended = (cp == C.TAG_END) & within(F.col("before"), [(0xE0020, 0xE007E)])
+    chars = chars.withColumn("cls", classes(cp)).withColumn("_prev", F.lag("cp").over(w)).withColumn("before", F.lag("cls").over(w)).withColumn("after", F.lead("cls").over(w)).withColumn("_rb", run_before).withColumn("_ra", run_after)
+    ended = (cp == C.TAG_END) & within(F.col("_prev"), [(0xE0020, 0xE007E)])
     chars = chars.withColumn("valid_tag", F.coalesce((F.col("_rb") == C.FLAG) & (in_run & (F.col("_ra") == C.TAG_END) | ended), F.lit(False)))
     before, after = F.col("before"), F.col("after")
     first = _kind(cp, _kept_beside(cp, before, after, None, o), o)
-    became = F.when(within(cp, C.GLUE), None).when(first.isNull(), cp).when(first == "space", F.lit(32)).when(first == "confusable", F.ascii(confusable_of(F.col("ch"))))
+    # the class of what the character becomes: a space or a Latin letter has none
+    chars = chars.withColumn("_first", first)
+    became = F.when(within(cp, C.GLUE), None).when(F.col("_first").isNull(), F.col("cls")).when(F.col("_first").isin("space", "confusable"), F.lit(0))
     chars = chars.withColumn("_became", became)
     chars = chars.withColumn("_kept", F.last("_became", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     chars = chars.withColumn("kind", _kind(cp, _kept_beside(cp, before, after, F.col("_kept"), o), o))

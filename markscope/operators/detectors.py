@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.rows import inspect_udf
+from ..functions.rows import HITS, inspect_udf
 from . import characters, gumbel, stylometry
 
 EVIDENCE = "array<struct<label:string,detail:string,offsets:array<int>>>"
@@ -88,7 +88,7 @@ def _character_cell(name: str, kinds: tuple[str, ...], weak: tuple[str, ...] = (
     strong = F.exists(mine, lambda h: ~h["kind"].isin(list(weak))) if weak else F.size(mine) > 0
     total = F.aggregate(mine, F.lit(0), lambda a, h: a + h["count"])
     status = F.when(F.size(mine) == 0, "clean").when(strong, "detected").otherwise("uncertain")
-    detail = lambda h: F.format_string("%s ×%d (%s, %s)", characters.label(h["cp"]), h["count"], h["kind"], F.when(h["kind"] == "space", "informational").otherwise("probable"))
+    detail = lambda h: F.format_string("%s ×%d (%s, %s)", h["label"], h["count"], h["kind"], F.when(h["kind"] == "space", "informational").otherwise("probable"))
     evidence = F.transform(mine, lambda h: F.struct(characters.codepoint(h["cp"]).alias("label"), detail(h).alias("detail"), h["sample_offsets"].alias("offsets")))
     meta = F.create_map(F.lit("length"), F.col("_length").cast("string"), F.lit("kinds"), F.array_join(F.array_distinct(F.transform(mine, lambda h: h["kind"])), ","))
     return _cell(name, status, total, F.when(strong, 1.0), evidence=evidence, note_key=F.when((F.size(mine) > 0) & ~strong, "inspect.noteInformational"), meta=meta)
@@ -104,7 +104,7 @@ def text_results(docs: DataFrame, key: str | None = None, window: int = C.GUMBEL
     registry = default_registry()
     rows = docs.select(F.col(f"`{id_col}`").alias("input_id"), F.col(f"`{text}`").alias("_t"))
     likely = characters.suspicious(F.col("_t"), characters.Options(aggressive=aggressive))
-    none = F.array().cast("array<struct<cp:int,kind:string,count:int,sample_offsets:array<int>>>")
+    none = F.array().cast(HITS)
     marked = rows.where(likely).withColumn("_hits", inspect_udf(aggressive, strip_glue)("_t"))
     rows = marked.unionByName(rows.where(~F.coalesce(likely, F.lit(False))).withColumn("_hits", none)).withColumn("_length", F.length("_t"))
     # the style report is computed from the same row; it is a few native expressions and two Arrow functions

@@ -35,12 +35,19 @@ def sentences(text: Column) -> Column:
 
 def burstiness(found: Column) -> Column:
     """Mean, sample deviation and their ratio (cv) of the sentences' word counts; cv is null below two sentences."""
-    n = F.filter(F.transform(found, lambda s: F.size(F.regexp_extract_all(s, F.lit(WORD), 0)).cast("double")), lambda x: x > 0)
-    k = F.size(n)
-    mean = F.aggregate(n, F.lit(0.0), lambda a, x: a + x) / F.when(k > 0, k)
-    square = F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    dev = F.when(k > 1, F.sqrt(square / (k - 1)))
-    return F.struct(F.coalesce(mean, F.lit(0.0)).alias("mean_len"), F.coalesce(dev, F.lit(0.0)).alias("std_dev"), (dev / mean).alias("cv"))
+    # one pass of sums over whole numbers, which doubles hold exactly; the sentences are worked out once
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+
+    def add(a: Column, s: Column) -> Column:
+        x = F.size(F.regexp_extract_all(s, F.lit(WORD), 0)).cast("double")
+        return F.struct((a["n"] + F.when(x > 0, 1.0).otherwise(0.0)).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q"))
+
+    def done(a: Column) -> Column:
+        mean = F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(0.0)
+        dev = F.when(a["n"] > 1, F.sqrt(F.greatest(F.lit(0.0), (a["q"] - a["s"] * a["s"] / a["n"]) / (a["n"] - 1))))
+        return F.struct(mean.alias("mean_len"), F.coalesce(dev, F.lit(0.0)).alias("std_dev"), (dev / mean).alias("cv"))
+
+    return F.aggregate(found, start, add, done)
 
 
 def java_phrase(pattern: str) -> str:

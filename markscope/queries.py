@@ -305,7 +305,7 @@ _BARE = {
 }
 _WORDS = r"regexp_extract_all(t, '[\p{L}\p{N}_](?:[''\-\p{L}\p{N}_]*[\p{L}\p{N}_])?')"
 _SENTENCES = VIEW + r""", o AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '(?m)^[ \t]*```[^\n]*'), lambda x, i: i % 2 = 1) AS parts FROM p),
- s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(array_to_string(parts, chr(10)), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')) AS s FROM o), q AS (SELECT doc_id, s FROM s WHERE trim(s, ' ' || chr(9) || chr(10)) <> '')"""
+ s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(array_to_string(parts, chr(10)), '([.!?])[\s\x{00a0}\x{3000}]+', '\1' || chr(10), 'g'), '\n+')) AS s FROM o), q AS (SELECT doc_id, s FROM s WHERE trim(s, ' ' || chr(9) || chr(10) || chr(160) || chr(12288)) <> '')"""
 _PHRASE_ROWS = ", ".join("('" + p.replace("'", "''") + f"', '{n.replace(chr(39), chr(39) * 2)}')" for p, n, _ in C.PHRASES)
 _MATTR = VIEW + f""", w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: lower(x)) AS ws FROM p), e AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
  l AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id, w ORDER BY i), -1) AS b FROM e),
