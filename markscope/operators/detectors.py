@@ -157,7 +157,10 @@ def file_results(reports: DataFrame, id_col: str = "path") -> DataFrame:
     """All detectors' rows for container reports (format, has_c2pa, has_ai_metadata, findings)."""
     registry = default_registry()
     rows = reports.withColumn("input_id", F.col(f"`{id_col}`"))
-    fits = {name: (lambda f, p=p: f.rlike(p)) for name, p in C.BUCKETS.items()}
+    def fit(pattern: str):
+        return lambda f: f.rlike(pattern)
+
+    fits = {name: fit(p) for name, p in C.BUCKETS.items()}
     empty = F.array().cast("array<int>")
     meta = F.create_map(F.lit("format"), F.col("format"), F.lit("has_c2pa"), F.col("has_c2pa").cast("string"), F.lit("has_ai_metadata"), F.col("has_ai_metadata").cast("string"))
     cells = [_cell(d.id, F.lit("not_applicable")) for d in registry.list("character")]

@@ -316,6 +316,9 @@ _ALL = "('unicode-invisible'), ('bidi-controls'), ('homoglyph')"
 _AFTER = f""", a AS (SELECT doc_id, detector, CASE WHEN detector = 'bidi-controls' AND doc_id % 12 = 2 THEN 'detected' ELSE 'clean' END AS after_status, CASE WHEN detector = 'bidi-controls' AND doc_id % 12 = 2 THEN 5.0 ELSE 0.0 END AS after_score FROM s)"""
 _NUMBERS = "SELECT doc_id, doc_id % 100 AS green, 20 + doc_id * 7 % 200 AS scored FROM documents"
 
+#: Whether a generator key's value names a generator; planted, or as part of a word of the text.
+_MADE = f"SELECT doc_id, doc_id % 4 = 0 OR doc_id % 2 = 0 AND len(list_filter({C.GENERATORS!r}, lambda g: contains(lower(text), lower(g)))) > 0 AS made FROM documents"
+
 ORACLES: dict[str, str] = {
     "char_hits": HITS + " SELECT doc_id, kind, n FROM hits",
     "char_hit_totals": HITS + " SELECT lang, kind, CAST(sum(n) AS BIGINT) AS n FROM hits GROUP BY lang, kind",
@@ -346,9 +349,9 @@ ORACLES: dict[str, str] = {
     "gumbel_windows": f"WITH k AS (SELECT doc_id, {_TOKENS} AS k FROM documents), w AS (SELECT doc_id, unnest(list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 3], ' '))) AS w FROM k) SELECT doc_id, count(*) AS n, count(DISTINCT w) AS counted FROM w GROUP BY doc_id",
     "hint_scan_pages": f"SELECT page_id, array_to_string(list_filter({C.ALL_HINTS!r}, lambda n: contains(h, lower(n))), ',') AS hits FROM (SELECT page_id, lower({PAGE_HINT}) AS h FROM pages)",
     "format_sniff": "SELECT doc_id, CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FORMATS)) + " ELSE 'unknown' END AS format FROM documents",
-    "image_inspect": "SELECT doc_id, 'png' AS format, false AS has_c2pa, doc_id % 4 = 0 AS has_ai_metadata, CAST(CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_findings FROM documents",
+    "image_inspect": f"SELECT doc_id, 'png' AS format, false AS has_c2pa, made AS has_ai_metadata, CAST(made AS BIGINT) AS n_findings FROM ({_MADE})",
     "image_clean": "SELECT doc_id, CAST(45 AS BIGINT) AS n_bytes, 'drop chunk tEXt' AS actions FROM documents",
-    "file_detectors": "SELECT doc_id, d AS detector, CASE WHEN d = 'ai-generator-marker' AND doc_id % 4 = 0 THEN 'detected' ELSE 'clean' END AS status FROM documents CROSS JOIN (VALUES ('c2pa'), ('xmp'), ('exif'), ('ai-generator-marker'), ('other-metadata')) x(d)",
+    "file_detectors": "SELECT doc_id, d AS detector, CASE WHEN d = 'ai-generator-marker' AND made THEN 'detected' ELSE 'clean' END AS status FROM (" + _MADE + ") CROSS JOIN (VALUES ('c2pa'), ('xmp'), ('exif'), ('ai-generator-marker'), ('other-metadata')) x(d)",
     "kgw_verdict": f"WITH n AS ({_NUMBERS}), z AS (SELECT *, (green - 0.25::DOUBLE * scored) / sqrt(scored * 0.1875::DOUBLE) AS z FROM n) SELECT doc_id, round(z, 6) AS z_score, CASE WHEN scored < 50 THEN 'uncertain' WHEN z >= 4 THEN 'detected' WHEN z < 2 THEN 'clean' ELSE 'uncertain' END AS status FROM z",
     "synthid_threshold_bucket": "WITH t(n, thr) AS (VALUES (50, 0.9::DOUBLE), (100, 0.6::DOUBLE), (200, 0.4::DOUBLE), (400, 0.3::DOUBLE)), d AS (SELECT doc_id, doc_id % 100 / 100.0::DOUBLE AS p, doc_id * 3 % 500 AS k FROM documents), b AS (SELECT doc_id, p, k, coalesce(max(n) FILTER (WHERE n <= k), 50) AS bucket FROM d CROSS JOIN t GROUP BY doc_id, p, k) SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, thr AS threshold, CASE WHEN k < 100 THEN 'uncertain' WHEN p >= thr THEN 'detected' WHEN p < 0.12 THEN 'clean' ELSE 'uncertain' END AS status FROM b JOIN t ON t.n = b.bucket",
     "reports": HITS + STATUS + " SELECT doc_id, 'true' AS key_supplied, CASE WHEN bool_or(status = 'detected') THEN 'detected' WHEN bool_or(status = 'uncertain') THEN 'uncertain' ELSE 'clean' END AS character, false AS leaks FROM s GROUP BY doc_id",
