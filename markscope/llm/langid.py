@@ -21,7 +21,7 @@ text is ``und``; equal counts go to the smaller language name; whole texts are r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,11 @@ MIN_COUNT = 3
 TYPICAL = 0.5
 ORDERS = (3, 4)
 HASHES = 2
+#: Of the labelled fitting rows, the share whose values are passed over when limits are fitted.
+LOW = 0.01
+#: A text must reach this part of the share that all but ``LOW`` of its language's fitting rows reach. The score has no such
+#: limit: near 0.5 are texts that mix two learned languages, while unlearned ones and letter junk may score 0.6.
+SHARE_PART = 0.4
 #: Characters handled at once.
 BLOCK = 1 << 20
 
@@ -103,6 +108,7 @@ class LanguageFilter:
     languages: list[str]
     table: np.ndarray  # (slots, words), of bytes for up to 8 languages, else of 64-bit words
     fpr: np.ndarray
+    least_share: np.ndarray | None = None  # limit of ``keep_identified`` per language, by ``fit_limits``
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         size = np.uint64(len(self.table) - 1)
@@ -122,8 +128,13 @@ class LanguageFilter:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and the winner's margin: its corrected share of the sum of the two best shares."""
+        k, _, score = self.best(text)
+        return (self.languages[k], score) if k is not None else ("und", 0.0)
+
+    def best(self, text: str | None) -> tuple[int | None, float, float]:
+        """The winner's position (None: no language or letter), its corrected share and its margin."""
         if not self.languages or not has_letter(text):
-            return "und", 0.0
+            return None, 0.0, 0.0
         n, hits = 0, np.zeros(len(self.languages))
         for block in text_blocks(text):
             h = grams(block)
@@ -133,7 +144,14 @@ class LanguageFilter:
         best = int(np.argmax(share))  # the first of equals; names are sorted
         second = float(np.max(np.delete(share, best))) if len(share) > 1 else 0.0
         top = float(share[best])
-        return self.languages[best], top / (top + second) if top > 0 else 0.0
+        return best, top, top / (top + second) if top > 0 else 0.0
+
+    def shows(self, text: str | None, min_score: float) -> bool:
+        """Whether a learned language shows: the score and, where limits are fitted, the share reach them."""
+        k, share, score = self.best(text)
+        if k is None or score < min_score:
+            return False
+        return self.least_share is None or bool(share >= self.least_share[k])
 
 
 def build_filter(kept: dict[str, np.ndarray], bits_per_gram: int = 24) -> LanguageFilter:
@@ -152,16 +170,23 @@ def build_filter(kept: dict[str, np.ndarray], bits_per_gram: int = 24) -> Langua
     return LanguageFilter(langs, table.astype(np.uint8) if len(langs) <= 8 else table, np.minimum(fill**HASHES, 0.99))
 
 
-def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> LanguageFilter:
-    """Learn from the rows of ``labelled`` with a text and a language."""
+def _sample(labelled: DataFrame, text: str, lang: str, id_col: str, max_docs: int) -> DataFrame | None:
+    """(l, t): at most about ``max_docs`` rows a language that have a text; None without any."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("l is not null and t is not null")
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not sizes:
-        return build_filter({})
+        return None
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("l") == name, min(1.0, max_docs / n)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < share * 1_000_003).select("l", "t")
+    return rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < share * 1_000_003).select("l", "t")
+
+
+def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> LanguageFilter:
+    """Learn from the rows of ``labelled`` with a text and a language."""
+    sample = _sample(labelled, text, lang, id_col, max_docs)
+    if sample is None:
+        return build_filter({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +218,30 @@ def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "la
     return build_filter(kept)
 
 
+def fit_limits(model: LanguageFilter, labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> LanguageFilter:
+    """``model`` with a limit on the corrected share per language, from the fitting rows that it puts in their own language.
+
+    Where a language has no such row, the lowest limit of the others holds; without any there are no limits.
+    """
+    sample = _sample(labelled, text, lang, id_col, max_docs) if model.languages else None
+    if sample is None:
+        return model
+    held = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            got = [(name, *m.best(t)) for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            got = [(k, share) for name, k, share, _ in got if k is not None and m.languages[k] == name]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.float64())], names=["k", "share"])
+
+    low = sample.mapInArrow(run, "k int, share double").groupBy("k").agg(F.percentile_approx("share", LOW, 10_000).alias("share"))
+    got = {r["k"]: r["share"] * SHARE_PART for r in low.collect()}  # a row per language
+    if not got:
+        return model
+    return replace(model, least_share=np.array([got.get(k, min(got.values())) for k in range(len(model.languages))]))
+
+
 def identify_language(df: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, ``lang_pred`` and ``score`` (0 to 1)."""
     held = df.sparkSession.sparkContext.broadcast(model)
@@ -213,14 +262,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_identified(df: DataFrame, model: LanguageFilter, min_score: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose text has a language with a score of ``min_score`` or more; all columns are kept."""
+    """The rows whose text has a language with a score of ``min_score`` or more and within the model's limits; all columns are kept."""
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            got = [m.predict(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in got], pa.bool_()))
+            yield batch.filter(pa.array([m.shows(t.as_py(), min_score) for t in batch.column(at)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

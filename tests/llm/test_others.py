@@ -46,6 +46,20 @@ def test_language_accuracy(spark):
     assert langid.identify_language(odd, langid.fit_language_filter(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_unlearned_languages_and_junk_go(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(3)
+    fi = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    pl = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    junk = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 10))) for _ in range(n)) for n in (50, 500, 5000)]
+    en = "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood."
+    odd = spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate([fi, fi * 50, pl, pl * 50, *junk, "12 34", None, en])], "doc_id long, text string, lang string")
+    got = {x.doc_id for x in C.language_id(spark, docs.unionByName(odd), "").select("doc_id").collect()}
+    assert got == {x.doc_id for x in docs.select("doc_id").collect()} | {10**6 + 9}
+
+
 def test_filter_has_no_false_negatives():
     model = langid.build_filter({"a": langid.grams("alpha beta"), "b": langid.grams("gamma delta")})
     assert model.counts(langid.grams("alpha beta"))[0] == len(langid.grams("alpha beta"))
