@@ -1,7 +1,10 @@
 """License scan by sentence rules.
 
 Texts are cut into sentences, sentences are normalised (A-Z lower-cased, everything but letters and digits
-becomes one space) and looked up among known licence sentences. The identifiers that remain, in text order,
+becomes one space) and matched with known licence sentences. A sentence ends at a blank line, at . ! ? ; before white space
+and at : before a line end; of a sentence over several lines, any run of whole lines may be a known sentence, so wrapped
+texts and one-line notices are both found. Marks before a line's first letter or digit (of comments, say) and a
+list number before a sentence do not count. The identifiers that remain, in text order,
 are matched against ordered licence rules: the first rule whose identifiers stand side by side takes them, and what
 it took cannot serve a later rule. Everything is DataFrame expressions without a join, exchange or
 Python, so a document is never grouped.
@@ -83,8 +86,16 @@ def known_sentences() -> dict[str, str]:
     return out
 
 
-def _normal(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+def _marked(t: Column) -> Column:
+    """The text normalised, with a line feed at each line end inside a sentence and | at each end of a sentence."""
+    t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz ")
+    t = F.regexp_replace(t, r"\n[^a-z0-9\n]+", "\n")
+    # the GPL's grant starts after ; or : and holds a ; itself
+    t = F.regexp_replace(t, r"[.!?](?=[ \t\r\n])|;(?=[ \t\r\n])(?!\s+either\s+version\s)|:(?=[ \t\r]*\n|\s+you\s+can\s+redistribute\s)", "|")
+    t = F.regexp_replace(t, r"[^a-z0-9\n|]+", " ")
+    t = F.regexp_replace(t, r" ?\n ?", "\n")
+    t = F.regexp_replace(t, r"\n\n+", "|")
+    return F.btrim(F.regexp_replace(t, r" ?\|[ \n|]*", "|"), F.lit(" \n"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,12 +103,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     Licences stand in the order of the rules; documents without any have two empty strings.
     """
-    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
+    sentences = known_sentences()
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    # the longest first; words may be parted by a line end
+    told = "|".join(sorted(sentences, key=lambda x: (-len(x), x))).replace(" ", "[ \n]")
+    pattern = rf"(?<![a-z0-9 ])(?:[0-9]{{1,2}} )?({told})(?![a-z0-9 ])"
     likely = "(?i)" + KEYS.replace(" ", "[^a-z0-9]+")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    # a sentence ends at a line end, or at . ! ? ; before white space
-    sentences = F.split(F.regexp_replace("t", r"([.!?;])[ \t\r]+", "$1\n"), "\n+")
-    found = F.filter(F.transform(F.filter(sentences, lambda s: s.rlike(likely)), lambda s: F.try_element_at(known, _normal(s))), lambda x: x.isNotNull())
+    found = F.transform(F.regexp_extract_all(_marked(F.col("t")), F.lit(pattern), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     rows = rows.select("id", F.when(F.col("t").rlike(likely), found).otherwise(F.array().cast("array<string>")).alias("ids"))
     rows = rows.select("id", F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").alias("n"), F.when(F.size("ids") > 0, F.concat(F.lit(";"), F.array_join("ids", ";;"), F.lit(";"))).otherwise("").alias("left0"))
     # each rule takes its identifiers out, leaving a mark that no later rule can reach across

@@ -95,6 +95,50 @@ def test_license_rules(spark):
     assert all(any(k in s for k in license_scan.KEYS.split("|")) for s in license_scan.known_sentences())
 
 
+def test_wrapped_license_texts(spark):
+    grant = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+(2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    names = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    gpl2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n"
+    gpl3 = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://example.org/x\n'
+    texts = {
+        "MIT": "MIT License\n\nCopyright (c) 2020 Someone\n\n" + grant, "BSD-2-Clause,All-Rights-Reserved": bsd, "BSD-3-Clause,All-Rights-Reserved": bsd + names, "ISC": "Copyright 2020 Someone\n" + isc,
+        "GPL-2.0-or-later": gpl2, "GPL-3.0-or-later": gpl3, "Apache-2.0": apache, "": "a licence word\nin the open, all rights reserved\nby no one", "Zlib": "Some line\nLicensed under the zlib license\nanother line",
+    }
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), *[lambda t, c=c: "".join(c + x + "\n" for x in t.split("\n")) for c in ("# ", " * ", "// ", ";; ")], lambda t: "\n\n".join(p.replace("\n", " ") for p in t.split("\n\n"))]
+    rows = [(k, f, forms[f](t)) for k, t in texts.items() for f in range(len(forms))]
+    # the last form has one line a paragraph, where what shares a line with other text need not be found
+    rows = [x for x in rows if x[1] < len(forms) - 1 or x[0] in ("MIT", "GPL-2.0-or-later", "GPL-3.0-or-later")]
+    got = license_scan.scan_licenses(spark.createDataFrame([(f"{k}/{f}", t) for k, f, t in rows], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {f"{k}/{f}": k for k, f, _ in rows}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
