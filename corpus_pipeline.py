@@ -1,6 +1,6 @@
 """The training-data pipeline over the table documents, as stages that each read what the one before kept.
 
-1. language_id: texts without a letter, or in which no learned language shows (limits fitted on labelled rows), go.
+1. language_id: texts without a letter, or in which no learned language shows (limits fitted on labelled rows), go; if none could be learned, every text with a letter stays.
 2. line_dedup: later copies of repeated line runs of 50 words or more are deleted; a document that loses all its text goes.
 3. simhash: of near copies (five-word shingles, similarity 0.8 or more) the document of the smallest id stays.
 4. decontaminate: spans that hold ten consecutive words of a benchmark item are cut out; a document of which more than half is hit goes.

@@ -15,7 +15,7 @@ stable) and keeps, per language, at most ``max_grams`` n-grams that are typical
 frequent. Model size and what reaches the driver are therefore bounded, whatever the input.
 
 Cases: a null text or one without a letter is ``und`` with score 0; if nothing can be learned every
-text is ``und``; equal counts go to the smaller language name; whole texts are read in blocks.
+text is ``und``, and ``keep_identified`` keeps those with a letter; equal counts go to the smaller language name; whole texts are read in blocks.
 """
 
 from __future__ import annotations
@@ -147,7 +147,9 @@ class LanguageFilter:
         return best, top, top / (top + second) if top > 0 else 0.0
 
     def shows(self, text: str | None, min_score: float) -> bool:
-        """Whether a learned language shows: the score and, where limits are fitted, the share reach them."""
+        """Whether a learned language shows: the score and, where limits are fitted, the share reach them. Where nothing was learned, a letter is enough."""
+        if not self.languages:
+            return has_letter(text)
         k, share, score = self.best(text)
         if k is None or score < min_score:
             return False

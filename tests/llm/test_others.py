@@ -60,6 +60,16 @@ def test_unlearned_languages_and_junk_go(spark):
     assert got == {x.doc_id for x in docs.select("doc_id").collect()} | {10**6 + 9}
 
 
+def test_texts_stay_where_no_language_is_learned(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "a clean text of some words"), (2, "12 34 !!"), (3, ""), (4, None), (5, "ein Text")]
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    small = spark.createDataFrame([(i, t, "xx") for i, t in rows], "doc_id long, text string, lang string")
+    for docs in (unlabelled, small):
+        assert sorted(x.doc_id for x in C.language_id(spark, docs, "").collect()) == [1, 5]
+
+
 def test_filter_has_no_false_negatives():
     model = langid.build_filter({"a": langid.grams("alpha beta"), "b": langid.grams("gamma delta")})
     assert model.counts(langid.grams("alpha beta"))[0] == len(langid.grams("alpha beta"))
