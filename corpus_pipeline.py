@@ -4,7 +4,7 @@
 2. line_dedup: later copies of repeated line runs of 50 words or more are deleted; a document that loses all its text goes.
 3. simhash: of near copies (five-word shingles, similarity 0.8 or more) the document of the smallest id stays.
 4. decontaminate: spans that hold ten consecutive words of a benchmark item are cut out; a document of which more than half is hit goes.
-5. bpe: token ids are added.
+5. bpe: token ids are added, and decoded again: ``decoded_sha256`` is the digest of the bytes they stand for.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER_FILE))
-    return bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN, digest="decoded_sha256").withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("simhash", dedup_near), ("decontaminate", remove_benchmark), ("bpe", encode)]

@@ -87,11 +87,13 @@ def encode_text(enc, text: str | None, max_chunk: int = MAX_CHUNK) -> list[int]:
     return ids
 
 
-def bpe_encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "token_ids", max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """``df`` with an array<int> column ``out`` of token ids."""
+def bpe_encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "token_ids", max_chunk: int = MAX_CHUNK, digest: str | None = None) -> DataFrame:
+    """``df`` with an array<int> column ``out`` of token ids; with ``digest``, a column of that name has the SHA-256 of the bytes that the ids decode to."""
     held = df.sparkSession.sparkContext.broadcast(ranks)
-    rest = [c for c in df.columns if c != out]
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    rest = [c for c in df.columns if c not in (out, digest)]
+    schema = T.StructType([f for f in df.schema.fields if f.name in rest] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    if digest:
+        schema = schema.add(digest, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(held.value, pattern)
@@ -100,7 +102,10 @@ def bpe_encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ou
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 ids = [encode_text(enc, t, max_chunk) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*rest, out])
+                columns = [pa.array(ids, pa.list_(pa.int32()))]
+                if digest:
+                    columns.append(pa.array([sha256_hex(enc.decode_bytes(x)) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.fieldNames())
 
     return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
 

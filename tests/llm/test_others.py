@@ -163,3 +163,11 @@ def test_pipeline(spark):
     from markscope.llm.decontaminate import contamination
 
     assert contamination(out, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).where("contaminated").count() == 0
+
+
+def test_pipeline_decodes(spark):
+    import corpus_pipeline as C
+
+    docs = spark.createDataFrame([(1, "Été 漢 <|endoftext|> \n" * 40), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in C.encode(spark, docs, "").collect()}
+    assert {i: got[i].decoded_sha256 for i in got} == {i: bpe.sha256_hex((t or "").encode()) for i, t in docs.collect()}
