@@ -197,7 +197,7 @@ def build_automata(items: DataFrame, id_col: str = "item_id", text: str = "text"
     def close() -> None:
         held.append(sc.broadcast(pickle.dumps(ItemAutomaton(shard, window))))
 
-    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null")
+    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
     for r in rows.toLocalIterator():
         ws = words(r["t"])
         if shard and size + len(ws) > SHARD_WORDS:
@@ -231,7 +231,10 @@ def _scan_batch(held: list[Broadcast], all_words: list[list[bytes]]) -> list[tup
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids (sorted strings)."""
+    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids (sorted strings).
+
+    Items of null id are hit like others; all of them together count as one in n_items and are not named.
+    """
     held = build_automata(items, window=window)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
@@ -242,10 +245,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
                 part = batch.slice(lo, 1000)
                 all_words = [words(t.as_py()) for t in part.column(1)]
                 got = _scan_batch(held, all_words)
-                names = [sorted(x[1]) for x in got]
+                names = [sorted(x[1] - {None}) for x in got]
                 hit = [sum(e - s for s, e in x[0]) for x in got]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, all_words), pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, names), pa.int64()),
+                    [part.column(0), pa.array(map(len, all_words), pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x[1]) for x in got], pa.int64()),
                      pa.array([sha256_hex(",".join(x).encode()) for x in names], pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(names, pa.list_(pa.string()))],
                     names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
                 )

@@ -72,3 +72,14 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(docs, none).first().n_hit == 0
     assert D.contamination(docs.limit(0), none).count() == 0
+
+
+def test_items_without_id(spark):
+    words = [f"w{k}" for k in range(24)]
+    items = spark.createDataFrame([(None, " ".join(words[:12])), (None, " ".join(words[12:])), (7, " ".join(words[5:20]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[:12]) + " y"), (2, " ".join(words) + " z" * 40), (3, "x y z")], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.contamination(docs, items).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].item_ids, got[i].contaminated) for i in (1, 2, 3)] == [(12, 1, [], True), (24, 2, ["7"], True), (0, 0, [], False)]
+    assert got[1].items_sha256 == sha256_hex(b"") and got[2].items_sha256 == sha256_hex(b"7")
+    left = {r.doc_id: r.text for r in D.decontaminate(docs, items).collect()}
+    assert left[2].split() == ["z"] * 40 and 1 not in left and left[3] == "x y z"
