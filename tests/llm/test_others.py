@@ -90,6 +90,16 @@ def test_url_rules_and_models(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def test_url_model_keeps_all_pairs(spark):
+    r = random.Random(2)
+    made = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(2400)]
+    rows = [(t + str(k), k % 2 == 0) for t in made for k in range(8)]
+    tables, _ = url_filter.fit_ratio_model(spark.createDataFrame(rows, "u string, good boolean"))
+    assert sum(t.count() for t in tables) > 110_000
+    tables, _ = url_filter.fit_ratio_model(spark.createDataFrame(rows, "u string, good boolean"), max_entries=500)
+    assert sum(t.count() for t in tables) == 500
+
+
 def test_license_rules(spark):
     mit = license_scan.SENTENCES["MitGrant"][0]
     rows = [
