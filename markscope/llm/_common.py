@@ -15,29 +15,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints: the session's ``spark.checkpoint.dir``, or what the context has been given.
 
-    Only where that is unset, as in tests, a local folder is made and set.
+    Where neither is set, a session on one machine (master local) gets a folder of its own; on a cluster nothing is guessed.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not shared:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="checkpoints-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if current.isEmpty():
         spark.sparkContext.setCheckpointDir(shared)
     return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    A checkpoint keeps the size estimates of the plan behind it, which multiply from join to join until planning takes longer
+    than the work; so the rows are taken up again as a table of unknown size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
