@@ -12,8 +12,10 @@ A match of two or more words needs every pair of neighbours to be a pair of some
 first screened in bulk: only runs whose words and neighbouring pairs all occur in items, and that are as
 long as the shortest window, walk the automaton. Shorter runs cannot hold a window.
 
-The automaton has at most two states a word. Items are dealt to automata of at most
-``SHARD_WORDS`` words each, so what a task holds at once is bounded however many items there are.
+The automaton has at most two states a word. Items are dealt to automata of at most ``SHARD_WORDS`` words each, and each is a
+broadcast of its own, so the size of one is bounded and a task holds one at a time, however many items there are. With
+several, a batch of documents goes through one after the other, so each is loaded once a batch. Items reach the driver as a
+stream, one shard at a time.
 
 Cases: null and empty texts have no words; an item without words has no window; repeated items all count;
 documents are rows, so repeated ids give repeated rows; an empty item table hits nothing.
@@ -212,6 +214,11 @@ def build_automata(items: DataFrame, id_col: str = "item_id", text: str = "text"
 _LOADED: dict[int, ItemAutomaton] = {}
 
 
+def _step(held: list[Broadcast], rows: int) -> int:
+    """Documents that go through the automata together."""
+    return 1000 if len(held) == 1 else max(1, rows)
+
+
 def _scan_batch(held: list[Broadcast], all_words: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
     got = [([], set()) for _ in all_words]
     for b in held:
@@ -241,8 +248,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(lo, 1000)
+            step = _step(held, batch.num_rows)
+            for lo in range(0, max(1, batch.num_rows), step):
+                part = batch.slice(lo, step)
                 all_words = [words(t.as_py()) for t in part.column(1)]
                 got = _scan_batch(held, all_words)
                 names = [sorted(x[1] - {None}) for x in got]
@@ -269,8 +277,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(lo, 1000)
+            step = _step(held, batch.num_rows)
+            for lo in range(0, max(1, batch.num_rows), step):
+                part = batch.slice(lo, step)
                 texts = part.column(at).to_pylist()
                 all_words = [words(t) for t in texts]
                 keep, sizes = [], part.column(length).to_pylist() if length is not None else []

@@ -10,9 +10,9 @@ N-grams have 3 or 4 characters of lower-cased words with their ends marked; digi
 space only separate words. They are hashed to 64 bits.
 
 Fitting takes at most ``max_docs`` rows per language (a hash of the id decides, so the sample is
-stable) and keeps, per language, at most ``max_grams`` n-grams that are typical of it: counted at least
-``MIN_COUNT`` times and at least ``TYPICAL`` times as frequent there as in the language where they are most
-frequent. Model size and what reaches the driver are therefore bounded, whatever the input.
+stable) and keeps all n-grams that are typical of a language: counted at least ``MIN_COUNT`` times in the fitted rows and
+at least ``TYPICAL`` times as frequent there as in the language where they are most frequent. The model is bounded by the
+texts of the fitted rows: 24 bits of the table and 8 bytes on the driver for each of the n-grams they hold.
 
 Cases: a null text or one without a letter is ``und`` with score 0; if nothing can be learned every
 text is ``und``, and ``keep_identified`` keeps those with a letter; equal counts go to the smaller language name; whole texts are read in blocks.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from ._common import cut, pick
 
 MAX_DOCS = 4000
-MAX_GRAMS = 20_000
 MIN_COUNT = 3
 TYPICAL = 0.5
 ORDERS = (3, 4)
@@ -172,23 +171,16 @@ def build_filter(kept: dict[str, np.ndarray], bits_per_gram: int = 24) -> Langua
     return LanguageFilter(langs, table.astype(np.uint8) if len(langs) <= 8 else table, np.minimum(fill**HASHES, 0.99))
 
 
-def _sample(labelled: DataFrame, text: str, lang: str, id_col: str, max_docs: int) -> DataFrame | None:
-    """(l, t): at most about ``max_docs`` rows a language that have a text; None without any."""
+def _sample(labelled: DataFrame, text: str, lang: str, id_col: str, max_docs: int) -> DataFrame:
+    """(l, t): at most about ``max_docs`` rows a language that have a text."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not sizes:
-        return None
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("l") == name, min(1.0, max_docs / n)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < share * 1_000_003).select("l", "t")
+    # a row per language, however many there are; unlike the texts, it is small enough to meet them in any kind of join
+    share = cut(rows.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*")).alias("share")))
+    return rows.join(share, "l").where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("l", "t")
 
 
-def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> LanguageFilter:
+def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> LanguageFilter:
     """Learn from the rows of ``labelled`` with a text and a language."""
-    sample = _sample(labelled, text, lang, id_col, max_docs)
-    if sample is None:
-        return build_filter({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,24 +192,20 @@ def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "la
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
+    sample = _sample(labelled, text, lang, id_col, max_docs)
     counted = cut(sample.mapInArrow(count, "l string, g long, n long").groupBy("g", "l").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT))
-    # frequencies as shares of each language's n-grams; the totals are a row per language
-    totals = {r["l"]: r["s"] for r in counted.groupBy("l").agg(F.sum("n").alias("s")).collect()}
-    if not totals:
-        return build_filter({})
-    freq = F.lit(None).cast("double")
-    for name, s in totals.items():
-        freq = F.when(F.col("l") == name, F.col("n") / F.lit(float(s))).otherwise(freq)
+    # frequencies as shares of each language's n-grams
+    totals = cut(counted.groupBy("l").agg(F.sum("n").cast("double").alias("s")))
+    shares = counted.join(totals, "l").select("g", "l", (F.col("n") / F.col("s")).alias("f"))
     typical = (
-        counted.withColumn("f", freq).groupBy("g").agg(F.collect_list(F.struct("l", "f", "n")).alias("x"), F.max("f").alias("m"))
-        .select("g", "m", F.explode("x").alias("x")).where(F.col("x.f") >= TYPICAL * F.col("m"))
-        .select("g", F.col("x.l").alias("l"), F.col("x.n").alias("n"))
+        shares.groupBy("g").agg(F.collect_list(F.struct("l", "f")).alias("x"), F.max("f").alias("m"))
+        .select("g", F.transform(F.filter("x", lambda x: x["f"] >= TYPICAL * F.col("m")), lambda x: x["l"]).alias("ls")).select("g", F.explode("ls").alias("l"))
     )
-    kept: dict[str, np.ndarray] = {}
-    for name in totals:
-        top = typical.where(F.col("l") == name).orderBy(F.desc("n"), "g").limit(max_grams).select("g").toArrow()
-        kept[name] = np.asarray(top.column("g").to_numpy(), np.int64).view(np.uint64)
-    return build_filter(kept)
+    # the model: 8 bytes an n-gram, bounded by the sample's texts
+    got = typical.toArrow()
+    names = got.column("l").combine_chunks().dictionary_encode()
+    hashes, at = got.column("g").to_numpy().view(np.uint64), names.indices.to_numpy()
+    return build_filter({name: np.sort(hashes[at == k]) for k, name in enumerate(names.dictionary.to_pylist())})
 
 
 def fit_limits(model: LanguageFilter, labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> LanguageFilter:
@@ -225,9 +213,9 @@ def fit_limits(model: LanguageFilter, labelled: DataFrame, text: str = "text", l
 
     Where a language has no such row, the lowest limit of the others holds; without any there are no limits.
     """
-    sample = _sample(labelled, text, lang, id_col, max_docs) if model.languages else None
-    if sample is None:
+    if not model.languages:
         return model
+    sample = _sample(labelled, text, lang, id_col, max_docs)
     held = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

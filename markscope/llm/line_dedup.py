@@ -1,22 +1,23 @@
 """Line deduplication by a suffix array over line numbers.
 
 The corpus is a sequence of lines per document; blank lines are skipped. Lines get numbers in sorted order of their
-hashes, and the suffixes of the line sequences are ordered by distributed prefix doubling: the rank of 2k lines is
+128-bit hashes, and the suffixes of the line sequences are ordered by distributed prefix doubling: the rank of 2k lines is
 the rank of the pair (rank of the first k lines, rank of the next k lines), with pairs ranked in sorted order by a range
 partitioning. Only suffixes that share their lines with another place stay in, so work shrinks with each round.
 
 Suffixes that agree on r lines form an interval of the suffix array with a longest common prefix of r
-or more. r lines are the pair of overlapping powers of two, so every interval is found by its two ranks. A run counts
+or more. r lines are the pair of overlapping powers of two, so every interval is found by its two ranks, and neither the whole
+array nor the prefix lengths are stored: an interval is the group of places of equal rank pairs. A run counts
 if it has ``min_words`` words or more; its first occurrence (by id, then by a hash of the text, then by line) is kept and
 the lines of all later ones are deleted. Every maximal repeated run that counts is the union of shortest
 counting runs that start or end at its lines, so only those are looked up, and nothing longer than ``min_words`` lines is ranked.
 
-Lines count as equal if their trimmed texts have equal 64-bit hashes. Doubling needs about log2(min_words) rounds; each
+Lines count as equal if their trimmed texts have equal 128-bit hashes. Doubling needs about log2(min_words) rounds; each
 ends in a reliable checkpoint.
 
 Cases: null and empty texts have no lines and stay; blank lines stay where they are; rows of equal id and
 text are one document and get equal results; a null id comes last; a document that loses all lines keeps an empty text; an
-empty table gives an empty result; other columns are kept.
+empty table gives an empty result; other columns, of any name, are kept (but ``n_lines_removed`` is replaced). Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -36,29 +37,30 @@ _DOC = ("id", "th")
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, th (hash of the text), pos (among lines that are not blank), h, w (words)."""
+    """id, th (hash of the text), pos (among lines that are not blank), h and g (the line's hash), w (words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            row, pos, h, w = [], [], [], []
+            row, pos, h, w = [], [], bytearray(), []
             for k, t in enumerate(batch.column(2)):
                 at = 0
                 for line in (t.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n"):
                     if n := len(line.split()):
                         row.append(k)
                         pos.append(at)
-                        h.append(xxhash.xxh64_intdigest(line.strip(), 7))
+                        h += xxhash.xxh3_128_digest(line.strip(), 7)
                         w.append(n)
                         at += 1
             take = pa.array(row, pa.int64())
+            halves = np.frombuffer(bytes(h), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(w, pa.int32())], names=["id", "th", "pos", "h", "w"]
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(w, pa.int32())], names=["id", "th", "pos", "h", "g", "w"]
             )
 
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, "id long, th long, pos int, h long, w int")
+    return rows.mapInArrow(run, "id long, th long, pos int, h long, g long, w int")
 
 
 def _rank(table: DataFrame, *keys: str) -> DataFrame:
@@ -76,7 +78,7 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
 def line_ranks(docs: DataFrame, longest: int, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """The places of repeated lines with ranks r0, r1, ... of 1, 2, 4, ... lines (null: not repeated), and the last level."""
     lines = cut(_lines(docs, id_col, text))
-    places = lines.join(_rank(_shared(lines, "h"), "h"), "h").select(*_DOC, "pos", "w", F.col("rank").alias("r0")).dropDuplicates([*_DOC, "pos"])
+    places = lines.join(_rank(_shared(lines, "h", "g"), "h", "g"), ["h", "g"]).select(*_DOC, "pos", "w", F.col("rank").alias("r0")).dropDuplicates([*_DOC, "pos"])
     places = cut(places)
     level, span = 0, 1
     while span * 2 <= longest:
@@ -146,6 +148,7 @@ def repeated_runs(places: DataFrame, level: int, min_words: int = MIN_WORDS) ->
     ordered = places.select(*_DOC, "pos", "w", *names).repartition(*_DOC).sortWithinPartitions(*_DOC, "pos")
     found = cut(ordered.mapInArrow(runs, "id long, th long, pos int, n int, a long, b long"))
     first = found.groupBy("n", "a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.max(F.struct("id", "th", "pos")).alias("last")).where("first <> last")
+    first = cut(first)  # both sides are dealt out anew, so that the places of one very common run can be split
     later = found.join(first, ["n", "a", "b"]).where(F.struct("id", "th", "pos") != F.col("first"))
     return later.select("id", "th", "pos", "n")
 
@@ -160,9 +163,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     spans = repeated_runs(places, level, min_words).groupBy(*_DOC).agg(F.collect_list(F.struct("pos", "n")).alias("_runs"))
     names = rows.columns
     at, length = names.index(text), names.index("n_chars") if "n_chars" in names else None
-    keyed = rows.withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1))).withColumn("_th", F.xxhash64(F.col(f"`{text}`")))
-    spans = spans.withColumnsRenamed({"id": "_id", "th": "_th"})
-    joined = keyed.join(spans.hint("shuffle_hash"), ["_id", "_th"], "left").select(*[F.col(f"`{c}`") for c in names], F.col("_runs.pos").alias("_pos"), F.col("_runs.n").alias("_n"))
+    # keys of names that no column has
+    low = {c.lower() for c in names}
+    key, mark, runs = (next(n for k in range(len(names) + 1) if (n := f"_{name}{k}") not in low) for name in ("id", "th", "runs"))
+    keyed = rows.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1))).withColumn(mark, F.xxhash64(F.col(f"`{text}`")))
+    spans = spans.select(F.col("id").alias(key), F.col("th").alias(mark), F.col("_runs").alias(runs))
+    joined = keyed.join(spans.hint("shuffle_hash"), [key, mark], "left").select(*[F.col(f"`{c}`") for c in names], F.col(f"{runs}.pos").alias(f"{runs}p"), F.col(f"{runs}.n").alias(f"{runs}n"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

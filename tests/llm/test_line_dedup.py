@@ -47,3 +47,11 @@ def test_edge_cases(spark):
     assert sorted((x.doc_id or -1, x.text, x.n_lines_removed) for x in got if x.text is not None) == sorted([(2, "", 0), (3, run, 0), (3, run, 0), (4, "new\n\nend", 2), (-1, "", 2)])
     assert [x.n_chars for x in got if x.doc_id == 4] == [8] and {x.pos for x in got} == {9}
     assert L.dedup_lines(df.limit(0), 6).count() == 0
+
+
+def test_clashing_names(spark):
+    run = "one two three\nfour five six"
+    names = ["_id0", "_th0", "_runs0", "_id", "_th", "_runs", "h", "g", "w", "n", "a", "b", "rank", "first", "id", "th"]
+    df = spark.createDataFrame([(k, run, *range(len(names))) for k in (1, 2)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = {x.doc_id: x for x in L.dedup_lines(df, 6).collect()}
+    assert (got[1].text, got[2].text) == (run, "") and [got[2][n] for n in names] == list(range(len(names)))
