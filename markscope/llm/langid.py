@@ -40,6 +40,8 @@ LOW = 0.01
 #: A text must reach this part of the share that all but ``LOW`` of its language's fitting rows reach. The score has no such
 #: limit: near 0.5 are texts that mix two learned languages, while unlearned ones and letter junk may score 0.6.
 SHARE_PART = 0.4
+#: Languages up to which the table of their shares is broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: Characters handled at once.
 BLOCK = 1 << 20
 
@@ -174,9 +176,10 @@ def build_filter(kept: dict[str, np.ndarray], bits_per_gram: int = 24) -> Langua
 def _sample(labelled: DataFrame, text: str, lang: str, id_col: str, max_docs: int) -> DataFrame:
     """(l, t): at most about ``max_docs`` rows a language that have a text."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("l is not null and t is not null")
-    # a row per language, however many there are; unlike the texts, it is small enough to meet them in any kind of join
+    # a row per language: broadcast, so that no text is dealt out, unless there are very many
     share = cut(rows.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*")).alias("share")))
-    return rows.join(share, "l").where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("l", "t")
+    few = share.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    return rows.join(F.broadcast(share) if few else share, "l").where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("l", "t")
 
 
 def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> LanguageFilter:
@@ -185,7 +188,7 @@ def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "la
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[str, list[np.ndarray]] = {}
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, t in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True):
                 if has_letter(t):
                     held.setdefault(name, []).extend(grams(b) for b in text_blocks(t))
             for name, parts in held.items():
@@ -221,7 +224,7 @@ def fit_limits(model: LanguageFilter, labelled: DataFrame, text: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            got = [(name, *m.best(t)) for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            got = [(name, *m.best(t)) for name, t in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True)]
             got = [(k, share) for name, k, share, _ in got if k is not None and m.languages[k] == name]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.float64())], names=["k", "share"])
 

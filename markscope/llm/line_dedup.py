@@ -171,7 +171,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     joined = keyed.join(spans.hint("shuffle_hash"), [key, mark], "left").select(*[F.col(f"`{c}`") for c in names], F.col(f"{runs}.pos").alias(f"{runs}p"), F.col(f"{runs}.n").alias(f"{runs}n"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, max(1, whole.num_rows), 1000)):
             texts, sizes = batch.column(at).to_pylist(), batch.column(length).to_pylist() if length is not None else []
             gone = [0] * batch.num_rows
             for k, (p, n) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
