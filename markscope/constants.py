@@ -46,7 +46,9 @@ FORMAT = [
 #: Blocks whose letters and marks join, by group.
 JOINING_BLOCKS = {"arabic": (0x0600, 0x08FF), "indic": (0x0900, 0x0DFF), "south-asian": (0x0F00, 0x109F), "khmer": (0x1780, 0x17FF), "mongolian": (0x1800, 0x18AF)}
 # Look-alikes and the letters they imitate; the full-width alphabet follows by rule.
-CONFUSABLES = dict(zip(map(ord, "АВЕКМНОРСТХаеорсухі"), "ABEKMHOPCTXaeopcyxi", strict=True))
+CONFUSABLES = {
+    0x0410: "A", 0x0412: "B", 0x0415: "E", 0x041A: "K", 0x041C: "M", 0x041D: "H", 0x041E: "O", 0x0420: "P", 0x0421: "C", 0x0422: "T", 0x0425: "X", 0x0430: "a", 0x0435: "e", 0x043E: "o", 0x0440: "p", 0x0441: "c", 0x0443: "y", 0x0445: "x", 0x0456: "i",
+}
 CONFUSABLES |= {0xFF21 + i: chr(0x41 + i) for i in range(26)} | {0xFF41 + i: chr(0x61 + i) for i in range(26)}
 FLAG, TAG_END = 0x1F3F4, 0xE007F
 OPENERS, POP = (0x202A, 0x202B, 0x202D, 0x202E), 0x202C
@@ -145,7 +147,14 @@ XMP_UUID = bytes.fromhex("be7acfcb97a942e89c71999491e3afac")
 GIF_XMP, GIF_CONTROL = "XMP DataXMP", ["NETSCAPE2.0", "ICCRGBG1012"]
 TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TIFF_NAMES = {269: "DocumentName", 270: "ImageDescription", 271: "Make", 272: "Model", 305: "Software", 306: "DateTime", 315: "Artist", 316: "HostComputer", 700: "XMP", 33432: "Copyright", 33723: "IPTC/NAA", 34377: "Photoshop", 34665: "ExifIFD", 34853: "GPSInfo", 37500: "MakerNote", 40091: "XPTitle", 40092: "XPComment", 40093: "XPAuthor", 40094: "XPKeywords", 40095: "XPSubject"}
-TIFF_KEPT = frozenset([*range(254, 260), *range(262, 267), 273, 274, 277, 278, 279, *range(282, 298), 301, 302, 304, *range(320, 335), 336, *range(338, 348), *range(512, 516), *range(517, 522), *range(529, 533), 33421, 33422, 33423, *range(50706, 50742)])
+TIFF_KEPT = frozenset([
+    254, 255, 256, 257, 258, 259, 262, 263, 264, 265, 266, 273, 274, 277, 278, 279, 282, 283, 284, 285,
+    286, 287, 288, 289, 290, 291, 292, 293, 294, 295, 296, 297, 301, 302, 304, 320, 321, 322, 323, 324,
+    325, 326, 327, 328, 329, 330, 331, 332, 333, 334, 336, 338, 339, 340, 341, 342, 343, 344, 345, 346,
+    347, 512, 513, 514, 515, 517, 518, 519, 520, 521, 529, 530, 531, 532, 33421, 33422, 33423, 50706, 50707, 50708,
+    50709, 50710, 50711, 50712, 50713, 50714, 50715, 50716, 50717, 50718, 50719, 50720, 50721, 50722, 50723, 50724, 50725, 50726, 50727, 50728,
+    50729, 50730, 50731, 50732, 50733, 50734, 50735, 50736, 50737, 50738, 50739, 50740, 50741,
+])
 TIFF_SUB_IFDS = (34665, 34853, 40965)
 INFLATE_CAP, IFD_CAP = 16 << 20, 4096
 LOCAL_LIMIT, SERVER_LIMIT = 64 << 20, 256 << 20

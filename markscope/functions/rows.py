@@ -57,6 +57,7 @@ class _Text:
         self.text, self.o = text, o
         self.tags = {i for m in _FLAGS.finditer(text) for i in range(*m.span(1))}
         self.pairs: set[int] = set()
+        self.known: tuple[int, int | None] = (0, None)  # a place and the last kept character before it
         opened: list[int] = []
         for m in re.finditer("[\u202a-\u202e]", text) if not o.strip_bidi else ():
             if m[0] != "\u202c":
@@ -68,16 +69,21 @@ class _Text:
         return ord(self.text[i]) if 0 <= i < len(self.text) else None
 
     def kept_before(self, i):
-        for j in range(i - 1, -1, -1):
+        found, j = None, i
+        while j > 0:
+            if j == self.known[0]:
+                found = self.known[1]
+                break
+            j -= 1
             cp = self.at(j)
             if cp in _R["GLUE"]:
                 continue
             kind, out = self.kind(j)
-            if kind is None:
-                return cp
-            if out:
-                return ord(out)
-        return None
+            if kind is None or out:
+                found = ord(out) if out else cp
+                break
+        self.known = (i, found)
+        return found
 
     def part_of_text(self, i) -> bool:
         cp, a, b = self.at(i), self.at(i - 1), self.at(i + 1)
@@ -130,8 +136,29 @@ def nfkc(text: str) -> tuple[str, int]:
     out = unicodedata.normalize("NFKC", text)
     if out == text:
         return out, 0
-    same = sum(b.size for b in difflib.SequenceMatcher(None, text, out, autojunk=False).get_matching_blocks())
-    return out, max(1, len(text) - same)
+    if len(text) <= WHOLE:
+        return out, max(1, _changed(text, out))
+    return out, max(1, sum(_changed(x, y) for x in _pieces(text) if (y := unicodedata.normalize("NFKC", x)) != x))
+
+
+def _changed(text: str, out: str) -> int:
+    return len(text) - sum(b.size for b in difflib.SequenceMatcher(None, text, out, autojunk=False).get_matching_blocks())
+
+
+#: Characters up to which a text is compared as a whole; longer ones in the pieces that normalisation treats by themselves.
+WHOLE = 2000
+_PIECES = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
+
+
+def _pieces(text: str):
+    """Stretches that hold all that may change: cut before ASCII, and before letters, digits and marks of punctuation that begin anew."""
+    for m in _PIECES.finditer(text):
+        piece, start = m[0], 0
+        for k in range(64, len(piece)):
+            if k - start >= 64 and unicodedata.category(piece[k]) in ("Lu", "Ll", "Lo", "Nd", "Po") and not 0x1160 <= ord(piece[k]) <= 0x11FF:
+                yield piece[start:k]
+                start = k
+        yield piece[start:]
 
 
 def clean_text(text: str | None, o: Options = Options()) -> tuple[str | None, int, int, int]:
@@ -165,6 +192,30 @@ def clean_udf(o: Options = Options()):
     return run
 
 
+LABELS = "array<struct<label:string,action:string,n:int>>"
+
+
+def stats_of(text: str | None, o: Options = Options()) -> list[tuple[str, str, int]]:
+    """(label, action, count) of what cleaning removes and replaces."""
+    found: dict[tuple[str, str], int] = {}
+    for _, cp, _, out in marks(text or "", o):
+        key = label(cp), "replaced" if out else "removed"
+        found[key] = found.get(key, 0) + 1
+    if o.nfkc and (n := clean_text(text, o)[3]):
+        found["NFKC", "replaced"] = n
+    return [(*k, n) for k, n in sorted(found.items())]
+
+
+def stats_udf(o: Options = Options()):
+    """A pandas UDF: text -> array of labels, actions and counts."""
+
+    @F.pandas_udf(LABELS)
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([[{"label": a, "action": b, "n": n} for a, b, n in stats_of(t, o)] for t in text], dtype=object)
+
+    return run
+
+
 def hits_of(text: str | None, aggressive: bool = False, strip_glue: bool = False) -> list[tuple[int, str, int, list[int]]]:
     """(code point, kind, count, first ten offsets) by count, then code point."""
     found: dict[tuple[int, str], list[int]] = {}
@@ -193,10 +244,16 @@ def label(cp: int) -> str:
 
 
 def inspect_udf(aggressive: bool = False, strip_glue: bool = False):
-    """A pandas UDF: text -> array of hits."""
+    """A pandas UDF: text -> array of hits; null where a text fails, so that one row cannot end the job."""
+
+    def one(t: str | None):
+        try:
+            return [{"cp": c, "label": label(c), "kind": k, "count": n, "sample_offsets": at} for c, k, n, at in hits_of(t, aggressive, strip_glue)]
+        except Exception:
+            return None
 
     @F.pandas_udf(HITS)
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"cp": c, "label": label(c), "kind": k, "count": n, "sample_offsets": at} for c, k, n, at in hits_of(t, aggressive, strip_glue)] for t in text])
+        return pd.Series([one(t) for t in text], dtype=object)
 
     return run

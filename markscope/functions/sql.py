@@ -47,7 +47,7 @@ def register(spark: SparkSession, key: str | None = None) -> None:
     spark.udf.register("mark_inspect", rows.inspect_udf())
     spark.udf.register("image_inspect", containers.inspect_udf)
     spark.udf.register("image_clean", containers.clean_udf())
-    spark.udf.register("mattr", stylometry.mattr)
+    spark.udf.register("mattr", stylometry.mattr_of_ids)
     spark.udtf.register("container_units", udtf(_Units, returnType="idx int, unit_type string, offset long, length long, payload binary"))
     if key is not None:
         import pandas as pd

@@ -5,7 +5,11 @@ first, and only the rest are taken apart: one row a character, neighbours by ``l
 running ``last``. That last character is read for glue only, and glue never changes it, so all other
 characters are decided from raw neighbours first; no loop is needed.
 
-The same rules for one text at a time, without an exchange, are in ``functions.rows``.
+That plan (``decide``) gives a row per character. ``hits``, ``inspect``, ``clean`` and ``clean_stats`` need no such rows: they apply
+the same rules to one text at a time (``functions.rows``), in one pass over suspicious texts and without an exchange.
+
+Cases: each row is a text of its own, whatever its id, so repeated and null ids are no special case; only ``decide`` takes rows of equal
+id and text once. A null text has no characters and stays null; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -138,13 +142,13 @@ def valid_bidi_pairs(chars: DataFrame, id_col: str) -> DataFrame:
 
 def decide(docs: DataFrame, o: Options = INSPECT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per character of the suspicious texts: id, pos, ch, cp, kind (null: stays), out (null: stripped)."""
-    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("_t")).where(suspicious(F.col("_t"), o))
-    chars = rows.select(id_col, F.posexplode(F.split("_t", "")).alias("pos", "ch")).withColumn("cp", F.ascii("ch"))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    back = Window.partitionBy(id_col).orderBy(F.desc("pos"))
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("_t")).where(suspicious(F.col("_t"), o)).distinct().withColumn("_row", F.xxhash64(id_col, "_t"))
+    chars = rows.select(id_col, "_row", F.posexplode(F.split("_t", "")).alias("pos", "ch")).withColumn("cp", F.ascii("ch"))
+    w = Window.partitionBy("_row").orderBy("pos")
+    back = Window.partitionBy("_row").orderBy(F.desc("pos"))
     cp = F.col("cp")
     if not o.strip_bidi:
-        chars = chars.join(valid_bidi_pairs(chars, id_col), [id_col, "pos"], "left").withColumn("valid_bidi", F.coalesce("valid_bidi", F.lit(False)))
+        chars = chars.join(valid_bidi_pairs(chars, "_row"), ["_row", "pos"], "left").withColumn("valid_bidi", F.coalesce("valid_bidi", F.lit(False)))
     in_run = within(cp, [(0xE0020, 0xE007E)])
     # a flag's tags: what stands before the run of tags is a black flag, what stands after it ends them
     run_before = F.last(F.when(~in_run, cp), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -181,13 +185,21 @@ def label(cp: Column) -> Column:
     return F.concat(codepoint(cp), F.lit(" "), F.coalesce(F.try_element_at(known, cp), name))
 
 
+def _found(docs: DataFrame, aggressive: bool, strip_glue: bool, text: str) -> Column:
+    """The hits of a text; texts without a suspicious character do not reach the row function's rules."""
+    from ..functions.rows import inspect_udf
+
+    t = F.col(f"`{text}`")
+    return inspect_udf(aggressive, strip_glue)(F.when(suspicious(t, Options(aggressive=aggressive)), t))
+
+
 def hits(docs: DataFrame, aggressive: bool = False, strip_glue: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per id, code point and kind: count, confidence, label and the first ten offsets."""
-    found = decide(docs, Options(aggressive=aggressive, strip_glue=strip_glue, strip_bidi=True), id_col, text).where("kind is not null")
-    grouped = found.groupBy(id_col, "cp", "kind").agg(F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list("pos")), 1, 10).alias("sample_offsets"))
-    return grouped.select(
-        id_col, "cp", codepoint(F.col("cp")).alias("codepoint"), label(F.col("cp")).alias("label"), "count", "kind",
-        F.when(F.col("kind") == "space", "informational").otherwise("probable").alias("confidence"), "sample_offsets",
+    """A row per text, code point and kind: id, count, confidence, label and the first ten offsets."""
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.explode(_found(docs, aggressive, strip_glue, text)).alias("h"))
+    h = F.col("h")
+    return rows.select(
+        id_col, h["cp"].alias("cp"), codepoint(h["cp"]).alias("codepoint"), h["label"].alias("label"), h["count"].cast("long").alias("count"), h["kind"].alias("kind"),
+        F.when(h["kind"] == "space", "informational").otherwise("probable").alias("confidence"), h["sample_offsets"].alias("sample_offsets"),
     )
 
 
@@ -200,32 +212,32 @@ NO_HITS = "No deterministic Layer A (invisible Unicode/format) carriers detected
 
 def inspect(docs: DataFrame, aggressive: bool = False, strip_glue: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per text: length, suspicious_total, hits (by count, then code point) and notes."""
-    order = F.struct((-F.col("count")).alias("o"), "cp", "codepoint", "label", "count", "kind", "confidence", "sample_offsets")
-    per = hits(docs, aggressive, strip_glue, id_col, text).groupBy(id_col).agg(F.sum("count").alias("suspicious_total"), F.array_sort(F.collect_list(order)).alias("h"))
-    per = per.withColumn("hits", F.transform("h", lambda x: F.struct(x.codepoint.alias("codepoint"), x.label.alias("label"), x["count"].alias("count"), x.kind.alias("kind"), x.confidence.alias("confidence"), x.sample_offsets.alias("sample_offsets")))).drop("h")
-    base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.length(F.col(f"`{text}`")).alias("length"))
-    notes = F.array(*map(F.lit, NOTES))
-    return base.join(per, id_col, "left").select(id_col, "length", F.coalesce("suspicious_total", F.lit(0)).alias("suspicious_total"), "hits", F.when(F.col("hits").isNull(), F.concat(notes, F.array(F.lit(NO_HITS)))).otherwise(notes).alias("notes"))
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.length(F.col(f"`{text}`")).alias("length"), _found(docs, aggressive, strip_glue, text).alias("h"))
+    told = F.transform("h", lambda x: F.struct(
+        codepoint(x["cp"]).alias("codepoint"), x["label"].alias("label"), x["count"].cast("long").alias("count"), x["kind"].alias("kind"),
+        F.when(x["kind"] == "space", "informational").otherwise("probable").alias("confidence"), x["sample_offsets"].alias("sample_offsets"),
+    ))
+    some, notes = F.size("h") > 0, F.array(*map(F.lit, NOTES))
+    total = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    return rows.select(id_col, "length", total.alias("suspicious_total"), F.when(some, told).alias("hits"), F.when(some, notes).otherwise(F.concat(notes, F.array(F.lit(NO_HITS)))).alias("notes"))
 
 
 def clean(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per text: ``cleaned`` and its counts; untouched texts bypass the character rows."""
-    from ..functions.rows import nfkc_clean
+    """Per text: ``cleaned`` and its counts; texts that no rule can change bypass the row function."""
+    from ..functions.rows import clean_udf
 
-    per = decide(docs, o, id_col, text).groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("out", F.lit("")).alias("out")))), lambda x: x["out"]), "").alias("c"),
-        F.count(F.when(F.col("out").isNull(), 1)).alias("r"), F.count(F.when(F.col("kind").isNotNull() & F.col("out").isNotNull(), 1)).alias("p"),
-    )
-    base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("_t"))
-    out = base.join(per, id_col, "left").select(id_col, F.col("_t"), F.coalesce("c", "_t").alias("cleaned"), F.coalesce("r", F.lit(0)).alias("removed_count"), F.coalesce("p", F.lit(0)).alias("replaced_count"))
-    if o.nfkc:
-        out = out.withColumn("n", nfkc_clean("cleaned")).withColumn("cleaned", F.col("n.text")).withColumn("nfkc_changed", F.col("n.changed")).withColumn("replaced_count", F.col("replaced_count") + F.col("n.changed"))
-    else:
-        out = out.withColumn("nfkc_changed", F.lit(0))
-    return out.select(id_col, "cleaned", F.length("_t").alias("input_length"), F.length("cleaned").alias("output_length"), "removed_count", "replaced_count", "nfkc_changed")
+    t = F.col(f"`{text}`")
+    likely = suspicious(t, o) | t.rlike("[^\\x00-\\x7F]") if o.nfkc else suspicious(t, o)
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), t.alias("_t"), clean_udf(o)(F.when(likely, t)).alias("r"))
+    rows = rows.withColumn("cleaned", F.coalesce("r.cleaned", "_t"))
+    counts = [F.coalesce(f"r.{n}", F.lit(0)).cast("long").alias(n) for n in ("removed_count", "replaced_count", "nfkc_changed")]
+    return rows.select(id_col, "cleaned", F.length("_t").alias("input_length"), F.length("cleaned").alias("output_length"), *counts)
 
 
 def clean_stats(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per id, label and action (removed or replaced) with its count."""
-    found = decide(docs, o, id_col, text).where("kind is not null")
-    return found.groupBy(id_col, "cp", F.when(F.col("out").isNull(), "removed").otherwise("replaced").alias("action")).agg(F.count("*").alias("n")).select(id_col, label(F.col("cp")).alias("label"), "action", "n")
+    """A row per text, label and action (removed or replaced) with its count; changes by NFKC have a label of their own."""
+    from ..functions.rows import stats_udf
+
+    t = F.col(f"`{text}`")
+    likely = suspicious(t, o) | t.rlike("[^\\x00-\\x7F]") if o.nfkc else suspicious(t, o)
+    return docs.select(F.col(f"`{id_col}`").alias(id_col), F.explode(stats_udf(o)(F.when(likely, t))).alias("s")).select(id_col, "s.label", "s.action", F.col("s.n").cast("long").alias("n"))

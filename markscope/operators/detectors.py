@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.rows import HITS, inspect_udf
+from ..functions.rows import inspect_udf
 from . import characters, gumbel, stylometry
 
 EVIDENCE = "array<struct<label:string,detail:string,offsets:array<int>>>"
@@ -87,7 +87,7 @@ def _character_cell(name: str, kinds: tuple[str, ...], weak: tuple[str, ...] = (
     mine = F.filter("_hits", lambda h: h["kind"].isin(list(kinds)))
     strong = F.exists(mine, lambda h: ~h["kind"].isin(list(weak))) if weak else F.size(mine) > 0
     total = F.aggregate(mine, F.lit(0), lambda a, h: a + h["count"])
-    status = F.when(F.size(mine) == 0, "clean").when(strong, "detected").otherwise("uncertain")
+    status = F.when(F.col("_hits").isNull(), "error").when(F.size(mine) == 0, "clean").when(strong, "detected").otherwise("uncertain")
     detail = lambda h: F.format_string("%s ×%d (%s, %s)", h["label"], h["count"], h["kind"], F.when(h["kind"] == "space", "informational").otherwise("probable"))
     evidence = F.transform(mine, lambda h: F.struct(characters.codepoint(h["cp"]).alias("label"), detail(h).alias("detail"), h["sample_offsets"].alias("offsets")))
     meta = F.create_map(F.lit("length"), F.col("_length").cast("string"), F.lit("kinds"), F.array_join(F.array_distinct(F.transform(mine, lambda h: h["kind"])), ","))
@@ -104,9 +104,8 @@ def text_results(docs: DataFrame, key: str | None = None, window: int = C.GUMBEL
     registry = default_registry()
     rows = docs.select(F.col(f"`{id_col}`").alias("input_id"), F.col(f"`{text}`").alias("_t"))
     likely = characters.suspicious(F.col("_t"), characters.Options(aggressive=aggressive))
-    none = F.array().cast(HITS)
-    marked = rows.where(likely).withColumn("_hits", inspect_udf(aggressive, strip_glue)("_t"))
-    rows = marked.unionByName(rows.where(~F.coalesce(likely, F.lit(False))).withColumn("_hits", none)).withColumn("_length", F.length("_t"))
+    # one scan: texts without a suspicious character reach the function as null
+    rows = rows.withColumn("_hits", inspect_udf(aggressive, strip_glue)(F.when(likely, F.col("_t")))).withColumn("_length", F.length("_t"))
     # the style report is computed from the same row; it is a few native expressions and two Arrow functions
     style = stylometry.score(rows.withColumn("_all", F.struct("input_id", "_t", "_hits", "_length")), "_all", "_t")
     rows = style.select("_all.*", F.struct("word_count", "sentence_count", "burstiness_cv", "lexical_diversity", "ai_ngram_density", "matched_markers", "score", "confidence_level", "status", "findings").alias("_s"))
@@ -212,30 +211,38 @@ def summarize(results: DataFrame) -> DataFrame:
             return out.when(has("clean"), "clean").when(all_na, "not_applicable").otherwise("unavailable")
         return out.when(all_na, "not_applicable").otherwise("clean")
 
+    # the first heuristic in the registry's order; one of one's own comes after them
+    first = (layer == "statistical") & F.col("heuristic")
+    ordinal = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, d in enumerate(C.DETECTORS) for x in (d[0], i)]), F.col("detector")), F.lit(len(C.DETECTORS)))
     return results.groupBy("input_id").agg(
         verdict(layer == "character").alias("character"), verdict(layer == "metadata").alias("metadata"), verdict((layer == "statistical") & ~F.col("heuristic"), True).alias("statistical"),
-        F.max(F.when((layer == "statistical") & F.col("heuristic"), status)).alias("heuristic"), F.sum((status == "error").cast("long")).alias("n_errors"),
+        F.min_by(F.when(first, status), F.when(first, ordinal)).alias("heuristic"), F.sum((status == "error").cast("long")).alias("n_errors"),
     )
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per input and detector: both statuses and scores, whether the status stayed, the score's change and whether all stayed."""
-    b = before.select("input_id", "detector", "layer", F.col("status").alias("before_status"), F.col("score").alias("before_score"))
+    b = before.select("input_id", "detector", "layer", "heuristic", F.col("status").alias("before_status"), F.col("score").alias("before_score"))
     a = after.select("input_id", "detector", F.col("status").alias("after_status"), F.col("score").alias("after_score"))
     out = b.join(a, ["input_id", "detector"], "left").withColumn("same_status", F.coalesce(F.col("after_status") == F.col("before_status"), F.lit(False))).withColumn("delta", F.col("after_score") - F.col("before_score"))
     return out.withColumn("same", F.col("same_status") & (F.col("delta").isNull() | (F.abs("delta") < 1e-9)))
 
 
 def overall_effect(compared: DataFrame) -> DataFrame:
-    """Per input: what cleaning did to the statistical layer (same, same_status, changed or none), and detectors of characters that still see something."""
-    real = (F.col("layer") == "statistical") & F.col("before_status").isin("detected", "clean", "uncertain")
+    """Per input: what cleaning did to the statistical layer (same, same_status, changed or none), and detectors of characters whose row afterwards is missing or not clean. Heuristics do not count."""
+    real = (F.col("layer") == "statistical") & ~F.col("heuristic") & F.col("before_status").isin("detected", "clean", "uncertain")
     per = compared.groupBy("input_id").agg(
         F.sum(real.cast("int")).alias("n"), F.sum((real & ~F.col("same")).cast("int")).alias("moved"), F.sum((real & ~F.col("same_status")).cast("int")).alias("changed"),
-        F.sum(((F.col("layer") == "character") & F.col("after_status").isin("detected", "uncertain")).cast("long")).alias("residual_character"),
+        F.sum(((F.col("layer") == "character") & F.coalesce(F.col("after_status") != "clean", F.lit(True))).cast("long")).alias("residual_character"),
     )
     return per.select("input_id", F.when(F.col("n") == 0, "none").when(F.col("changed") > 0, "changed").when(F.col("moved") > 0, "same_status").otherwise("same").alias("statistical_effect"), "residual_character")
 
 
+def shown(results: DataFrame) -> DataFrame:
+    """The rows that a report shows: detectors that do not apply to an input are left out."""
+    return results.where("status <> 'not_applicable'")
+
+
 def best_of(scores: DataFrame, key: str = "input_id") -> DataFrame:
     """The best score with its threshold, and whether any row is marked: rows (key, score, threshold, is_watermarked)."""
     return scores.groupBy(key).agg(F.max_by(F.struct("score", "threshold"), "score").alias("b"), (F.max(F.col("is_watermarked").cast("int")) == 1).alias("any_watermarked")).select(key, "b.score", "b.threshold", "any_watermarked")

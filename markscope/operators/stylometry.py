@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,9 +55,10 @@ def burstiness(found: Column) -> Column:
 def java_phrase(pattern: str) -> str:
     """A phrase pattern with Python's meaning of word ends, white space, word characters and case in Java."""
     out, in_class = "", False
-    for token in re.findall(r"\\.|.", pattern):
-        if token == r"\b":
-            out += rf"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
+    tokens = re.findall(r"\\.|.", pattern)
+    for token, after in zip(tokens, [*tokens[1:], ""], strict=True):
+        if token == r"\b":  # before a letter a word starts, elsewhere one ends
+            out += rf"(?<![{_W}])" if after.isalpha() else rf"(?![{_W}])"
         elif token in (r"\s", r"\w"):
             inner = SPACE if token == r"\s" else _W
             out += inner if in_class else f"[{inner}]"
@@ -67,11 +70,35 @@ def java_phrase(pattern: str) -> str:
 
 def phrase_matches(text: Column) -> Column:
     """Array of (phrase, count, weight, first three samples) of the phrases that occur."""
-    found = []
-    for pattern, name, weight in C.PHRASES:
-        got = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_phrase(pattern)), 0)
-        found.append(F.when(F.size(got) > 0, F.struct(F.lit(name).alias("phrase"), F.size(got).alias("count"), F.lit(weight).alias("weight"), F.slice(got, 1, 3).alias("samples"))))
-    return F.array_compact(F.array(*found))
+    text = F.coalesce(text, F.lit(""))
+    # a text that lacks a pattern's words is not searched for it; letters that case folding equates with ASCII ones are equal here too
+    odd = "\u0130\u0131\u017f\u212a"
+    low = F.lower(F.when(text.rlike(f"[{odd}]"), F.translate(text, odd, "iisk")).otherwise(text))
+
+    def search(row: Column) -> Column:
+        found = []
+        for pattern, name, weight in C.PHRASES:
+            likely = reduce(and_, [reduce(or_, [F.contains(row["low"], F.lit(w)) for w in some]) for some in needed_words(pattern)])
+            got = F.regexp_extract_all(row["text"], F.lit(java_phrase(pattern)), 0)
+            found.append(F.struct(F.lit(name).alias("phrase"), F.when(likely, got).otherwise(F.array().cast("array<string>")).alias("samples"), F.lit(weight).alias("weight")))
+        return F.array(*found)
+
+    # bound by a lambda, so that both the lower-cased text and each search are worked out once
+    found = F.flatten(F.transform(F.array(F.struct(text.alias("text"), low.alias("low"))), search))
+    some = F.filter(found, lambda m: F.size(m["samples"]) > 0)
+    return F.transform(some, lambda m: F.struct(m["phrase"].alias("phrase"), F.size(m["samples"]).alias("count"), m["weight"].alias("weight"), F.slice(m["samples"], 1, 3).alias("samples")))
+
+
+def needed_words(pattern: str) -> list[list[str]]:
+    """Of each group and each run of letters that a match must hold, the alternatives (their first run of letters)."""
+    must = re.sub(r"\((?:\?:)?(?:[^()]|\([^()]*\))*\)[?*]", " ", pattern)  # what may be left out
+    out = []
+    for group in re.findall(r"\(\?:([^()]*(?:\([^()]*\)[^()]*)*)\)", must):
+        found = [re.match(r"[a-z]*", re.sub(r"[a-z']\?|\[[a-z]+\]\?", " ", x))[0] for x in group.split("|")]
+        if all(len(w) > 1 for w in found):
+            out.append(found)
+    rest = re.sub(r"\(\?:.*?\)(?![|\w)])|\[[^\]]*\][+*?]?|\\[a-z][+*]?|[a-z']\?", " ", must)
+    return sorted(out + [[w] for w in re.findall(r"[a-z]{2,}", rest)], key=lambda ws: -min(map(len, ws)))
 
 
 def moving_ratio(ws: list[str], window: int = C.MATTR_WINDOW) -> float:
@@ -88,19 +115,24 @@ def moving_ratio(ws: list[str], window: int = C.MATTR_WINDOW) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def mattr(ws: pd.Series) -> pd.Series:
-    return pd.Series([moving_ratio(list(x)) for x in ws], dtype="float64")
+def mattr_of_ids(ids: pd.Series) -> pd.Series:
+    return pd.Series([moving_ratio(x.tolist() if x is not None else []) for x in ids], dtype="float64")
+
+
+def mattr(ws: Column | str) -> Column:
+    """Moving type-token ratio of an array of words; they cross into Python as hashes."""
+    return mattr_of_ids(F.transform(ws, lambda w: F.xxhash64(w)))
 
 
 def mattr_by_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = C.MATTR_WINDOW) -> DataFrame:
-    """The same ratio as rows and a lag over equal words, for use where Python is unwanted."""
-    w = docs.select(id_col, words(F.col(text)).alias("_w"))
-    each = w.select(id_col, F.size("_w").alias("n"), F.posexplode("_w").alias("i", "word"))
-    before = F.coalesce(F.lag("i").over(Window.partitionBy(id_col, "word").orderBy("i")), F.lit(-1))
+    """The same ratio as rows and a lag over equal words, for use where Python is unwanted. Rows of equal id and text count as one."""
+    w = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("_t")).distinct().select(id_col, F.xxhash64(id_col, "_t").alias("_row"), words(F.col("_t")).alias("_w"))
+    each = w.select("_row", F.size("_w").alias("n"), F.posexplode("_w").alias("i", "word"))
+    before = F.coalesce(F.lag("i").over(Window.partitionBy("_row", "word").orderBy("i")), F.lit(-1))
     span = F.greatest(F.lit(0), F.least("i", F.col("n") - window) - F.greatest(F.lit(0), F.col("i") - window + 1, before + 1) + 1)
-    total = each.withColumn("c", F.when(F.col("n") <= window, (before < 0).cast("int")).otherwise(span)).groupBy(id_col, "n").agg(F.sum("c").alias("c"))
-    total = total.select(id_col, (F.col("c") / F.when(F.col("n") <= window, F.col("n")).otherwise(window * (F.col("n") - window + 1))).alias("mattr"))
-    return docs.select(id_col).join(total, id_col, "left").fillna(0.0, ["mattr"])
+    total = each.withColumn("c", F.when(F.col("n") <= window, (before < 0).cast("int")).otherwise(span)).groupBy("_row", "n").agg(F.sum("c").alias("c"))
+    total = total.select("_row", (F.col("c") / F.when(F.col("n") <= window, F.col("n")).otherwise(window * (F.col("n") - window + 1))).alias("mattr"))
+    return w.select(id_col, "_row").join(total, "_row", "left").fillna(0.0, ["mattr"]).drop("_row")
 
 
 def finding_confidence(finding: Column) -> Column:
