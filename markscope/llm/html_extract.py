@@ -45,6 +45,8 @@ BOILERPLATE_WORDS = frozenset(
     "replies reply respond rail search share sharing shoutbox sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe "
     "subscription taboola tags toolbar topbar tweet widget widgets alert author-bio".split()
 )
+#: Words of a class or id beside which "header" is the article's own.
+ARTICLE_WORDS = frozenset(["article", "post", "entry", "story"])
 NEVER_DROPPED = frozenset(["html", "body", "main", "article"])
 BONUS = {"article": 40.0, "main": 30.0, "section": 3.0, "div": 3.0, "body": 0.0, "html": -10.0, "td": 2.0, "blockquote": 2.0, "pre": 2.0, "li": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -5.0}
 #: Share of link characters from which a list, table or division is a menu.
@@ -79,7 +81,9 @@ def _is_boilerplate(tag: str, attrs: str) -> bool:
             return True
         if name in ("class", "id"):
             for part in value.split():
-                if part in BOILERPLATE_WORDS or not BOILERPLATE_WORDS.isdisjoint(_SPLIT.split(part)):
+                found = {part, *_SPLIT.split(part)}
+                marks = found & BOILERPLATE_WORDS
+                if marks and not (marks == {"header"} and found & ARTICLE_WORDS):
                     return True
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -93,6 +97,22 @@ def parse(page: str) -> Node:
     linked = 0
     in_link = False
     pos, n = 0, len(page)
+    last_close: dict[str, int] = {}
+
+    def closes(tag: str) -> bool:
+        """Whether an end tag follows; looked up once a tag name, so that unclosed ones cost no search each."""
+        if tag not in last_close:
+            last_close[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", page, re.I)), default=-1)
+        return last_close[tag] >= pos
+
+    def behind(tag: str) -> int:
+        """The place behind the end of an element that has just begun."""
+        depth = 1
+        for m in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>?", re.I).finditer(page, pos):
+            depth += -1 if m[1] else 1
+            if not depth:
+                return m.end()
+        return n
 
     def flush() -> None:
         nonlocal linked
@@ -151,12 +171,15 @@ def parse(page: str) -> Node:
                     pos = end.start()
                     continue
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos) if closes(tag) else None
             if end:
                 pos = end.end()
             elif tag in OPAQUE:
                 pos = n
             continue
+        if tag not in BLOCKS and tag not in VOID and attrs and _is_boilerplate(tag, attrs) and closes(tag):
+            pos = behind(tag)  # an advert or notice inside a line, or hidden text
+            continue
         if tag in BREAKS:
             flush()
         elif tag == "a":
@@ -256,7 +279,7 @@ def extract(page: str | None) -> str:
             _texts(c, out, True)
         elif isinstance(c, Node) and not c.drop and c.chars:
             density = c.links / c.chars
-            if c.tag == best.tag and c.score >= least or c.tag == "p" and density < 0.25 and c.chars > 80 or c.tag in ("h1", "h2") and not density and best.tag != "article":
+            if c.tag == best.tag and c.score >= least or c.tag == "p" and density < 0.25 and (c.chars > 80 or best.tag not in ("article", "main")) or c.tag in ("h1", "h2") and not density and best.tag != "article":
                 _texts(c, out, True)
     return " ".join(out)
 

@@ -30,6 +30,13 @@ def test_edge_cases():
     assert len(extract("<article><p>" + "word " * 300_000)) == 5 * 300_000 - 1
 
 
+def test_inline_boilerplate_and_siblings():
+    assert extract('<article><p>one <span class="advert">buy <span>now</span></span> two <b hidden>no</b> three</p></article>') == "one two three"
+    assert extract('<article><div class="article-header"><h1>Title</h1></div><p>Text, of it, all.</p><div class="page-header"><p>Menu.</p></div></article>') == "Title Text, of it, all."
+    assert extract("<body><div><p>Some text, long enough, to be scored, as it has commas.</p><p>More.</p></div><p>The end.</p></body>") == "Some text, long enough, to be scored, as it has commas. More. The end."
+    assert extract("<article><p>" + "<button>" * 20_000 + "x</p>") == "x"
+
+
 def test_planted_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in extract_main_text(pages.withColumn("text", pages.url)).collect()}
