@@ -13,7 +13,8 @@ neither side is broadcast or held whole; each tile gives at most k rows a query,
 
 Cases: vectors that are null, or hold null, NaN or infinite components, take no part; vectors of another length than the
 query's are no candidates; rows of a query's id are none either; a repeated query row asks once; fewer than k
-candidates give fewer rows; sums beyond 2**53 are computed in Python integers; an empty table gives an empty result.
+candidates give fewer rows; sums beyond 2**53 are computed in Python integers; scaled components and products beyond a long
+are held at its ends, where equal ones are ties; ids are whole numbers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ K = 10
 SCALE = 1024.0
 QUERY_BLOCK = 1024
 SLICE = 8192
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 #: Segments of each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 
@@ -94,7 +96,7 @@ def _best_in_integers(q_ids, q, ids, x, k):
     out: list[tuple[int, int, int]] = []
     for i, r in enumerate(q.tolist()):
         r = [int(v) for v in r]
-        got = sorted((-sum(a * b for a, b in zip(r, c, strict=True)), int(n)) for c, n in zip(rows, ids.tolist(), strict=True) if n != q_ids[i])
+        got = sorted((-min(max(sum(a * b for a, b in zip(r, c, strict=True)), _LEAST), _MOST), int(n)) for c, n in zip(rows, ids.tolist(), strict=True) if n != q_ids[i])
         out += [(i, n, -s) for s, n in got[:k]]
     return tuple(np.array([o[j] for o in out], object if j == 2 else np.int64) for j in range(3))
 

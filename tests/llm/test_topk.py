@@ -36,3 +36,9 @@ def test_huge_components(spark):
     rows = [(0, [1e9, 3e9]), (1, [2e9, -1e9]), (2, [5e8, 5e8])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 2, k=2, scale=1.0).collect()
     assert [(r.vec_id, r.score) for r in got] == [(0, 2 * 10**18), (1, 5 * 10**17)]
+
+
+def test_products_beyond_a_long(spark):
+    rows = [(0, [1e10, 1e10]), (1, [1e10, -1e10]), (2, [1e10, 1e10]), (3, [-1e10, -1e10]), (4, [1e300, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 2**63 - 1), (4, 2**63 - 1), (1, 0), (3, -(2**63))]
