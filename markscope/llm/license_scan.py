@@ -9,7 +9,8 @@ are matched against ordered licence rules: the first rule whose identifiers stan
 it took cannot serve a later rule. Everything is DataFrame expressions without a join, exchange or
 Python, so a document is never grouped.
 
-Known sentences: a rule combines notice forms with licence names; fixed sentences of licence texts follow.
+Known sentences: a rule combines notice forms with licence names, and identifier lines with licence identifiers; fixed sentences of
+licence texts follow. A notice that is only part of a sentence is not known.
 
 Cases: null and empty texts have no sentences; a sentence that is not known takes no part; repeated sentences
 all count, a licence is named once; sentences of a recognised kind that no rule takes are
@@ -18,6 +19,8 @@ reported as ``UNKNOWN``; repeated rows give repeated rows; whole texts are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,7 @@ NAMES: dict[str, list[str]] = {
     "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license v 2 0"],
     "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0"],
     "ISC": ["isc license"],
+    "BSL-1.0": ["boost software license version 1 0"],
     "Zlib": ["zlib license"],
     "CC0-1.0": ["cc0", "cc0 1 0", "creative commons zero license"],
     "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
@@ -82,6 +86,10 @@ KEYS = "licens|licenc|permission|permitted|redistribut|copyright|public domain|r
 def known_sentences() -> dict[str, str]:
     """Normalised sentence -> identifier."""
     out = {f"{form} {name}": key for key, names in NAMES.items() for name in names for form in FORMS}
+    # identifier lines, as in source files
+    plain = {key: re.sub("[^a-z0-9]+", " ", key.lower()) for key in NAMES}
+    out |= {f"spdx license identifier {name}{only}": key for key, name in plain.items() for only in ("", " only")}
+    out |= {"spdx license identifier gpl 2 0 or later": "Gpl2Grant", "spdx license identifier gpl 3 0 or later": "Gpl3Grant"}
     out |= {text: key for key, texts in SENTENCES.items() for text in texts}
     return out
 

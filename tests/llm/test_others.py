@@ -115,6 +115,15 @@ def test_license_rules(spark):
     assert all(any(k in s for k in license_scan.KEYS.split("|")) for s in license_scan.known_sentences())
 
 
+def test_license_identifiers(spark):
+    texts = {
+        "MIT": "// SPDX-License-Identifier: MIT\nint x;", "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0\n", "GPL-2.0": "/* SPDX-License-Identifier: GPL-2.0-only */\n",
+        "GPL-3.0-or-later": "; SPDX-License-Identifier: GPL-3.0-or-later\n", "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See the file.)", "": "SPDX-License-Identifier: None-Such",
+    }
+    got = license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {k: k for k in texts}
+
+
 def test_wrapped_license_texts(spark):
     grant = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
