@@ -101,13 +101,38 @@ def _evidence(*pairs: tuple[str, Column]) -> Column:
 
 def text_results(docs: DataFrame, key: str | None = None, window: int = C.GUMBEL_WINDOW, threshold: float = C.GUMBEL_THRESHOLD, aggressive: bool = False, strip_glue: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All detectors' rows for texts: metadata detectors do not apply, model-bound ones are unavailable."""
+    return _rows(*text_cells(docs, key, window, threshold, aggressive, strip_glue, id_col, text), default_registry())
+
+
+def text_cells(docs: DataFrame, key: str | None = None, window: int = C.GUMBEL_WINDOW, threshold: float = C.GUMBEL_THRESHOLD, aggressive: bool = False, strip_glue: bool = False, id_col: str = "doc_id", text: str = "text", wanted: Callable[[Detector], bool] | None = None) -> tuple[DataFrame, list[Column]]:
+    """A row per text (``input_id``, ``_t`` and what detectors found) and each detector's result as an expression over it, in the registry's order.
+
+    Detectors that are not ``wanted`` are not run.
+    """
     registry = default_registry()
+    on = {d.id: wanted is None or wanted(d) for d in registry.list()}
     rows = docs.select(F.col(f"`{id_col}`").alias("input_id"), F.col(f"`{text}`").alias("_t"))
     likely = characters.suspicious(F.col("_t"), characters.Options(aggressive=aggressive))
     # one scan: texts without a suspicious character reach the function as null
-    rows = rows.withColumn("_hits", inspect_udf(aggressive, strip_glue)(F.when(likely, F.col("_t")))).withColumn("_length", F.length("_t"))
-    # the style report is computed from the same row; it is a few native expressions and two Arrow functions
-    style = stylometry.score(rows.withColumn("_all", F.struct("input_id", "_t", "_hits", "_length")), "_all", "_t")
+    if any(on[d.id] for d in registry.list("character")):
+        rows = rows.withColumn("_hits", inspect_udf(aggressive, strip_glue)(F.when(likely, F.col("_t"))))
+    rows = rows.withColumn("_length", F.length("_t"))
+    cells: dict[str, Column] = {
+        "unicode-invisible": _character_cell("unicode-invisible", C.INVISIBLE_KINDS), "bidi-controls": _character_cell("bidi-controls", ("bidi",)), "homoglyph": _character_cell("homoglyph", ("confusable", "space"), ("space",)),
+        **{d.id: _cell(d.id, F.lit("not_applicable")) for d in registry.list("metadata")},
+    }
+    if on["stylometry"]:
+        rows, cells["stylometry"] = _style(rows)
+    if on["gumbel"]:
+        rows, cells["gumbel"] = _replay(rows, key, window, threshold)
+    cells |= {x: _cell(x, F.lit("unavailable"), note_key="inspect.noteNoSidecar") for x in ("kgw", "synthid-text")}
+    cells |= {"upstream-detect": _cell("upstream-detect", F.lit("unavailable"), note_key="inspect.noteNoServer"), "textseal": _cell("textseal", F.lit("not_tested"), note_key="inspect.noteTextSeal")}
+    return rows, [c for name, c in cells.items() if on[name]]
+
+
+def _style(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows with the style report, and its cell; the report is computed from the same row: a few native expressions and two Arrow functions."""
+    style = stylometry.score(rows.withColumn("_all", F.struct(*rows.columns)), "_all", "_t")
     rows = style.select("_all.*", F.struct("word_count", "sentence_count", "burstiness_cv", "lexical_diversity", "ai_ngram_density", "matched_markers", "score", "confidence_level", "status", "findings").alias("_s"))
     s = F.col("_s")
     empty = F.array().cast("array<int>")
@@ -116,34 +141,30 @@ def text_results(docs: DataFrame, key: str | None = None, window: int = C.GUMBEL
         F.transform(s["matched_markers"], lambda m: F.struct(F.lit("marker").alias("label"), F.format_string("%s ×%d (w=%s)", m["phrase"], m["count"], m["weight"].cast("string")).alias("detail"), empty.alias("offsets"))),
         F.transform(s["findings"], lambda f: F.struct(F.lit("finding").alias("label"), f.alias("detail"), empty.alias("offsets"))),
     )
-    cells = [
-        _character_cell("unicode-invisible", C.INVISIBLE_KINDS), _character_cell("bidi-controls", ("bidi",)), _character_cell("homoglyph", ("confusable", "space"), ("space",)),
-        *[_cell(d.id, F.lit("not_applicable")) for d in registry.list("metadata")],
-        _cell(
-            "stylometry", F.when(s["status"] == "insufficient_length", "not_tested").when(s["confidence_level"].isin("HIGH", "MEDIUM"), "uncertain").otherwise("clean"), s["score"], threshold=F.lit(C.STYLE_THRESHOLD),
-            evidence=style_evidence, note_key="inspect.noteHeuristic", meta=F.create_map(F.lit("word_count"), s["word_count"].cast("string"), F.lit("sentence_count"), s["sentence_count"].cast("string"), F.lit("confidence_level"), s["confidence_level"], F.lit("status"), s["status"]),
-        ),
-    ]
+    return rows, _cell(
+        "stylometry", F.when(s["status"] == "insufficient_length", "not_tested").when(s["confidence_level"].isin("HIGH", "MEDIUM"), "uncertain").otherwise("clean"), s["score"], threshold=F.lit(C.STYLE_THRESHOLD),
+        evidence=style_evidence, note_key="inspect.noteHeuristic", meta=F.create_map(F.lit("word_count"), s["word_count"].cast("string"), F.lit("sentence_count"), s["sentence_count"].cast("string"), F.lit("confidence_level"), s["confidence_level"], F.lit("status"), s["status"]),
+    )
+
+
+def _replay(rows: DataFrame, key: str | None, window: int, threshold: float) -> tuple[DataFrame, Column]:
+    """The rows with the keyed replay's report, if there is a key, and its cell."""
     if key is None or not key.strip():
-        cells.append(_cell("gumbel", F.lit("unavailable"), note_key="inspect.noteNoGumbelKey"))
-    else:
-        try:
-            packed = rows.withColumn("_all", F.struct("input_id", "_t", "_hits", "_length", "_s"))
-            got = gumbel.detect(packed.select("_all", "_t"), key, window, threshold, id_col="_all", text="_t")
-            rows = got.select("_all.*", F.struct(*[c for c in got.columns if c != "_all"]).alias("_g"))
-            g = F.col("_g")
-            told = _evidence(
-                ("p_value", F.format_string("%.3e", g["p_value"])), ("statistic", g["statistic"]), ("counted", F.format_string("%d of %d tokens", g["counted"], g["tokens_total"])),
-                ("skipped", F.format_string("%d no-context, %d repeated-window", g["skipped_no_context"], g["skipped_repeated"])),
-            )
-            some = g["counted"] > 0
-            meta = F.create_map(F.lit("window"), g["window"].cast("string"), F.lit("counted"), g["counted"].cast("string"), F.lit("tokens_total"), g["tokens_total"].cast("string"), F.lit("scheme"), F.lit("exp"))
-            cells.append(_cell("gumbel", F.when(~some, "not_tested").when(g["is_watermarked"], "detected").otherwise("clean"), F.when(some, g["score"]), threshold=F.when(some, -F.log10(g["threshold"])), evidence=F.when(some, told), note_key=F.when(some, "inspect.noteGumbelReplay").otherwise("inspect.noteGumbelShort"), meta=meta))
-        except ValueError as e:  # bad options become an error row
-            cells.append(_cell("gumbel", F.lit("error"), note=F.lit(str(e))))
-    cells += [_cell(x, F.lit("unavailable"), note_key="inspect.noteNoSidecar") for x in ("kgw", "synthid-text")]
-    cells += [_cell("upstream-detect", F.lit("unavailable"), note_key="inspect.noteNoServer"), _cell("textseal", F.lit("not_tested"), note_key="inspect.noteTextSeal")]
-    return _rows(rows, cells, registry)
+        return rows, _cell("gumbel", F.lit("unavailable"), note_key="inspect.noteNoGumbelKey")
+    try:
+        packed = rows.withColumn("_all", F.struct(*rows.columns))
+        got = gumbel.detect(packed.select("_all", "_t"), key, window, threshold, id_col="_all", text="_t")
+    except ValueError as e:  # bad options become an error row
+        return rows, _cell("gumbel", F.lit("error"), note=F.lit(str(e)))
+    rows = got.select("_all.*", F.struct(*[c for c in got.columns if c != "_all"]).alias("_g"))
+    g = F.col("_g")
+    told = _evidence(
+        ("p_value", F.format_string("%.3e", g["p_value"])), ("statistic", g["statistic"]), ("counted", F.format_string("%d of %d tokens", g["counted"], g["tokens_total"])),
+        ("skipped", F.format_string("%d no-context, %d repeated-window", g["skipped_no_context"], g["skipped_repeated"])),
+    )
+    some = g["counted"] > 0
+    meta = F.create_map(F.lit("window"), g["window"].cast("string"), F.lit("counted"), g["counted"].cast("string"), F.lit("tokens_total"), g["tokens_total"].cast("string"), F.lit("scheme"), F.lit("exp"))
+    return rows, _cell("gumbel", F.when(~some, "not_tested").when(g["is_watermarked"], "detected").otherwise("clean"), F.when(some, g["score"]), threshold=F.when(some, -F.log10(g["threshold"])), evidence=F.when(some, told), note_key=F.when(some, "inspect.noteGumbelReplay").otherwise("inspect.noteGumbelShort"), meta=meta)
 
 
 def bucket_findings(findings: DataFrame, finding: str = "finding") -> DataFrame:
@@ -224,10 +245,33 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per input and detector: both statuses and scores, whether the status stayed, the score's change and whether all stayed."""
     b = before.select("input_id", "detector", "layer", "heuristic", F.col("status").alias("before_status"), F.col("score").alias("before_score"))
     a = after.select("input_id", "detector", F.col("status").alias("after_status"), F.col("score").alias("after_score"))
-    out = b.join(a, ["input_id", "detector"], "left").withColumn("same_status", F.coalesce(F.col("after_status") == F.col("before_status"), F.lit(False))).withColumn("delta", F.col("after_score") - F.col("before_score"))
+    return _changes(b.join(a, ["input_id", "detector"], "left"))
+
+
+def _changes(pairs: DataFrame) -> DataFrame:
+    out = pairs.withColumn("same_status", F.coalesce(F.col("after_status") == F.col("before_status"), F.lit(False))).withColumn("delta", F.col("after_score") - F.col("before_score"))
     return out.withColumn("same", F.col("same_status") & (F.col("delta").isNull() | (F.abs("delta") < 1e-9)))
 
 
+def compare_cells(docs: DataFrame, cleaned: Callable[[Column], Column], key: str | None = None, id_col: str = "doc_id", text: str = "text", wanted: Callable[[Detector], bool] | None = None) -> DataFrame:
+    """The rows of ``compare`` for texts and what ``cleaned`` makes of them, a text at a time: nothing is dealt out or joined.
+
+    Each row is compared with its own cleaned text, so rows of equal or null id stay apart.
+    """
+
+    def told(cells: list[Column]) -> Column:
+        return F.array(*[F.struct(c["detector"].alias("detector"), c["status"].alias("status"), c["score"].alias("score")) for c in cells])
+
+    registry = default_registry()
+    rows, cells = text_cells(docs, key, id_col=id_col, text=text, wanted=wanted)
+    rows = rows.select(F.struct("input_id", told(cells).alias("before")).alias("_id"), cleaned(F.col("_t")).alias("_t"))
+    rows, cells = text_cells(rows, key, id_col="_id", text="_t", wanted=wanted)
+    pairs = F.zip_with("input_id.before", told(cells), lambda b, a: F.struct(b["detector"].alias("detector"), b["status"].alias("before_status"), b["score"].alias("before_score"), a["status"].alias("after_status"), a["score"].alias("after_score")))
+    out = rows.select(F.col("input_id.input_id").alias("input_id"), F.explode(pairs).alias("p"))
+    of = {x: F.create_map(*[F.lit(v) for d in registry.list() for v in (d.id, getattr(d, x))]) for x in ("layer", "heuristic")}
+    return _changes(out.select("input_id", "p.detector", *[m[F.col("p.detector")].alias(x) for x, m in of.items()], "p.before_status", "p.before_score", "p.after_status", "p.after_score"))
+
+
 def overall_effect(compared: DataFrame) -> DataFrame:
     """Per input: what cleaning did to the statistical layer (same, same_status, changed or none), and detectors of characters whose row afterwards is missing or not clean. Heuristics do not count."""
     real = (F.col("layer") == "statistical") & ~F.col("heuristic") & F.col("before_status").isin("detected", "clean", "uncertain")

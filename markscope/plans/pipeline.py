@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.rows import clean_udf
 from ..operators import containers, detectors
-from ..operators.characters import Options
+from ..operators.characters import Options, cleaned_text
 from ..sources.files import cleaned_name
 
 
@@ -21,11 +23,9 @@ def clean_texts(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id",
     return docs.select(id_col, clean_udf(o)(F.col(text)).alias("r")).select(id_col, "r.*")
 
 
-def clean_and_reinspect(docs: DataFrame, o: Options = Options(), key: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Comparison of the detectors before and after cleaning."""
-    before = detectors.text_results(docs, key, id_col=id_col, text=text)
-    after = detectors.text_results(clean_texts(docs, o, id_col, text).select(id_col, F.col("cleaned").alias(text)), key, id_col=id_col, text=text)
-    return detectors.compare(before, after)
+def clean_and_reinspect(docs: DataFrame, o: Options = Options(), key: str | None = None, id_col: str = "doc_id", text: str = "text", wanted: Callable[[detectors.Detector], bool] | None = None) -> DataFrame:
+    """Comparison of the detectors, or of the ``wanted`` ones, before and after cleaning."""
+    return detectors.compare_cells(docs, lambda t: cleaned_text(t, o), key, id_col, text, wanted)
 
 
 def process_files(files: DataFrame, strip_all_metadata: bool = True, o: Options = Options()) -> DataFrame:

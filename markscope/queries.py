@@ -137,17 +137,13 @@ def summary_by_lang(spark, sf_dir):
     return summary_by_input(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "character").agg(F.count("*").alias("n"))
 
 
-def _compared(spark, sf_dir):
-    return pipeline.clean_and_reinspect(planted(spark, sf_dir))
-
-
 def compare_before_after(spark, sf_dir):
-    rows = _compared(spark, sf_dir).where("layer = 'character'")
+    rows = pipeline.clean_and_reinspect(planted(spark, sf_dir), wanted=lambda d: d.layer == "character")
     return rows.select(F.col("input_id").alias("doc_id"), "detector", "before_status", "after_status", "delta", "same", "same_status")
 
 
 def overall_effect(spark, sf_dir):
-    return detectors.overall_effect(_compared(spark, sf_dir)).select(F.col("input_id").alias("doc_id"), "statistical_effect", "residual_character")
+    return detectors.overall_effect(pipeline.clean_and_reinspect(planted(spark, sf_dir))).select(F.col("input_id").alias("doc_id"), "statistical_effect", "residual_character")
 
 
 def words(spark, sf_dir):

@@ -48,3 +48,24 @@ def test_effect_of_cleaning(spark):
     got = {x.input_id: x for x in detectors.overall_effect(detectors.compare(before, after)).collect()}
     assert (got[1].statistical_effect, got[1].residual_character) == ("none", 1)
     assert (got[2].statistical_effect, got[2].residual_character) == ("same_status", 0)
+
+
+def test_texts_are_compared_row_by_row(spark, monkeypatch):
+    from markscope.operators import stylometry
+    from markscope.plans import pipeline
+
+    rows = [(1, "a\u200bb"), (1, "x\u202ey\u200e"), (None, "p\u200bq"), (None, None), (2, "plain"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline.clean_and_reinspect(df)
+    assert got.count() == len(rows) * len(detectors.default_registry().list())
+    two = df.where("doc_id = 2").limit(1)
+    before, after = (detectors.text_results(x) for x in (two, characters.clean(two).select("doc_id", characters.F.col("cleaned").alias("text"))))
+    assert detectors.compare(before, after).dtypes == pipeline.clean_and_reinspect(two).dtypes
+    assert sorted(map(str, detectors.compare(before, after).collect())) == sorted(map(str, pipeline.clean_and_reinspect(two).collect()))
+    # detectors of characters alone: no style report, no exchange
+    monkeypatch.setattr(stylometry, "score", None)
+    got = pipeline.clean_and_reinspect(df, wanted=lambda d: d.layer == "character")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(None, "unicode-invisible", "detected", "clean")] + [(1, "bidi-controls", "detected", "detected"), (1, "unicode-invisible", "detected", "clean")]
+    moved = [(x.input_id, x.detector, x.before_status, x.after_status) for x in got.where("before_status <> 'clean' or after_status <> 'clean'").collect()]
+    assert sorted(moved, key=str) == sorted(want, key=str)
