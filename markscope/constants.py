@@ -96,7 +96,9 @@ def regex_class(ranges: list[tuple[int, int]]) -> str:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in merged) + "]"
+    inside = "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in merged) + "]"
+    # Java tries one range after the other: a code point below all of them is told by one comparison
+    return f"[\\x{{{merged[0][0]:X}}}-\\x{{10FFFF}}&&{inside}]"
 
 
 # Phrases (regular expression, label, weight) and thresholds of the style heuristic.

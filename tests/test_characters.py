@@ -69,3 +69,15 @@ def test_texts_are_compared_row_by_row(spark, monkeypatch):
     want = [(None, "unicode-invisible", "detected", "clean")] + [(1, "bidi-controls", "detected", "detected"), (1, "unicode-invisible", "detected", "clean")]
     moved = [(x.input_id, x.detector, x.before_status, x.after_status) for x in got.where("before_status <> 'clean' or after_status <> 'clean'").collect()]
     assert sorted(moved, key=str) == sorted(want, key=str)
+
+
+def test_effect_without_heuristics(spark, monkeypatch):
+    from markscope import queries
+    from markscope.operators import stylometry
+    from markscope.plans import pipeline
+
+    df = spark.createDataFrame([(1, "x\u202ey\u200e"), (2, "a\u200bb"), (3, None)], "doc_id long, text string")
+    want = sorted(map(tuple, detectors.overall_effect(pipeline.clean_and_reinspect(df)).collect()))
+    monkeypatch.setattr(stylometry, "score", None)
+    monkeypatch.setattr(queries, "planted", lambda spark, sf_dir: df)
+    assert sorted(map(tuple, queries.overall_effect(spark, "").collect())) == want == [(1, "none", 1), (2, "none", 0), (3, "none", 0)]
