@@ -115,8 +115,7 @@ def bidi_pairs(spark, sf_dir):
 
 
 def glue_preservation(spark, sf_dir):
-    glue = characters.decide(planted(spark, sf_dir)).where(characters.within(F.col("cp"), C.GLUE))
-    return glue.groupBy("doc_id").agg(F.count(F.when(F.col("kind").isNull(), 1)).alias("kept"), F.count("kind").alias("stripped"))
+    return characters.kept(planted(spark, sf_dir), C.GLUE)
 
 
 def detectors_character(spark, sf_dir):

@@ -81,3 +81,30 @@ def test_effect_without_heuristics(spark, monkeypatch):
     monkeypatch.setattr(stylometry, "score", None)
     monkeypatch.setattr(queries, "planted", lambda spark, sf_dir: df)
     assert sorted(map(tuple, queries.overall_effect(spark, "").collect())) == want == [(1, "none", 1), (2, "none", 0), (3, "none", 0)]
+
+
+def test_kept_by_row_agrees_with_windows(spark):
+    from markscope import constants as C
+
+    rows = list(enumerate(texts(300)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chars = characters.decide(df).collect()
+    inside = lambda cp, ranges: any(a <= cp <= b for a, b in ranges)
+    for ranges in (C.GLUE, C.TAGS):
+        want = {}
+        for x in chars:
+            if inside(x.cp, ranges):
+                want.setdefault(x.doc_id, [0, 0])[x.kind is not None] += 1
+        assert {x.doc_id: [x.kept, x.stripped] for x in characters.kept(df, ranges).collect()} == want
+    # each row is a text of its own
+    odd = spark.createDataFrame([(1, "a\u200db"), (1, "a\u200db"), (None, "\u2764\ufe0f"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.kept, x.stripped) for x in characters.kept(odd, C.GLUE).collect()) == [(0, 1, 0), (1, 0, 1), (1, 0, 1)]
+    assert characters.kept(odd.limit(0), C.GLUE).count() == 0
+
+
+def test_glue_is_not_dealt_out(spark, monkeypatch):
+    from markscope import queries
+
+    monkeypatch.setattr(queries, "planted", lambda spark, sf_dir: spark.createDataFrame([(1, "a\u200db"), (2, "x")], "doc_id long, text string"))
+    got = queries.glue_preservation(spark, "")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and [tuple(x) for x in got.collect()] == [(1, 0, 1)]
