@@ -105,8 +105,7 @@ def inspect_reports(spark, sf_dir):
 
 def flag_tags(spark, sf_dir):
     """Tag characters that a complete flag keeps."""
-    tags = characters.decide(planted(spark, sf_dir)).where(characters.within(F.col("cp"), C.TAGS))
-    return tags.groupBy("doc_id").agg(F.count(F.when(F.col("kind").isNull(), 1)).alias("kept"), F.count("kind").alias("stripped"))
+    return characters.kept(planted(spark, sf_dir), C.TAGS)
 
 
 def bidi_pairs(spark, sf_dir):

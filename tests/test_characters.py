@@ -108,3 +108,12 @@ def test_glue_is_not_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(queries, "planted", lambda spark, sf_dir: spark.createDataFrame([(1, "a\u200db"), (2, "x")], "doc_id long, text string"))
     got = queries.glue_preservation(spark, "")
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and [tuple(x) for x in got.collect()] == [(1, 0, 1)]
+
+
+def test_flag_tags_are_not_dealt_out(spark, monkeypatch):
+    from markscope import queries
+
+    flags = [(1, "\U0001f3f4\U000e0067\U000e007f \U000e0067"), (2, "a\u200db"), (1, "\U000e0041")]
+    monkeypatch.setattr(queries, "planted", lambda spark, sf_dir: spark.createDataFrame(flags, "doc_id long, text string"))
+    got = queries.flag_tags(spark, "")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, got.collect())) == [(1, 0, 1), (1, 2, 1)]
