@@ -195,8 +195,9 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def link_keyed(keyed: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) that join all fingerprints of one ``key`` within ``radius``; rows (key, fp) are distinct.
 
-    A key of up to ``TILE`` fingerprints is compared in one piece. Of a larger one, all are held against up to ``LEADERS``
-    of them, and those that are near none against all the rest, part by part; so only these are copied.
+    A key of up to ``TILE`` fingerprints is compared in one piece. Of a larger one, all are first held against up to ``LEADERS``
+    of them and joined through every leader they are near. Fingerprints outside the largest group that results are then held
+    against all of the key, part by part: of two that are not joined yet one is outside that group, so no link is lost.
     """
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     rows = keyed.join(sizes, "key").select("key", "fp", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
@@ -207,11 +208,19 @@ def link_keyed(keyed: DataFrame, radius: int) -> DataFrame:
         large = cut(rows.where("parts > 1"))
         leaders = large.groupBy("key", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(LEADERS)).alias("slot")).agg(F.min("fp").alias("l"))
         leaders = cut(leaders.groupBy("key").agg(F.sort_array(F.collect_list("l")).alias("leaders")))
-        held = cut(large.join(leaders, "key").withColumn("near", F.filter("leaders", lambda x: near(x, F.col("fp")))).select("key", "fp", "parts", F.get("near", F.lit(0)).alias("a")))
-        told = leaders.select(F.explode("leaders").alias("a"), "leaders").select("a", F.explode(F.filter("leaders", lambda x: near(x, F.col("a")))).alias("b"))
-        found = held.where("a is not null").select("a", F.col("fp").alias("b")).unionByName(told).where("a <> b")
+        held = large.join(leaders, "key").withColumn("near", F.filter("leaders", lambda x: near(x, F.col("fp"))))
+        held = cut(held.select("key", "fp", "parts", "near", F.get("near", F.lit(0)).alias("a")))
+        # leaders that are near each other, or near one fingerprint, are of one group
+        told = leaders.select("key", F.explode("leaders").alias("a"), "leaders").select("key", F.filter("leaders", lambda x: near(x, F.col("a"))).alias("near"))
+        told = told.unionByName(held.where(F.size("near") > 1).select("key", "near")).select("key", F.col("near")[0].alias("a"), F.explode("near").alias("b"))
+        group = cut(_leader_groups(told.distinct()))
+        found = held.where("a is not null").select("a", F.col("fp").alias("b")).unionByName(group.select(F.col("g").alias("a"), F.col("l").alias("b"))).where("a <> b")
+        held = cut(held.select("key", "fp", "parts", "a").join(group.withColumnRenamed("l", "a"), ["key", "a"], "left").select("key", "fp", "parts", "g"))
+        most = held.where("g is not null").groupBy("key", "g").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("g", F.struct("c", "g")).alias("most"))
+        held = held.join(cut(most), "key").withColumn("asks", F.coalesce(F.col("g") != F.col("most"), F.lit(True)))
+        # one that asks is in every part; its own part holds it once more, which the tile undoes
         own = held.select("key", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "fp", F.lit(False).alias("asks"))
-        rest = held.where("a is null").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "fp", F.lit(True).alias("asks"))
+        rest = held.where("asks").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "fp", "asks")
         tiles = tiles.unionByName(own).unionByName(rest)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +254,24 @@ def link_keyed(keyed: DataFrame, radius: int) -> DataFrame:
     return roots.select("a", "b").unionByName(ties).distinct()
 
 
+def _leader_groups(told: DataFrame) -> DataFrame:
+    """(key, l, g): of each key's leaders, of which links (key, a, b) name every one, the smallest that is joined with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for key, links in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of = {x: x for link in links for x in link.values()}
+                for link in links:
+                    a, b = of[link["a"]], of[link["b"]]
+                    if a != b:
+                        of = {x: min(a, b) if g in (a, b) else g for x, g in of.items()}
+                out += [(key, x, g) for x, g in of.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["key", "l", "g"])
+
+    return told.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("links")).mapInArrow(run, "key long, l long, g long")
+
+
 def _edges(pairs: np.ndarray) -> pa.RecordBatch:
     signed = np.ascontiguousarray(pairs).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(signed[:, 0]), pa.array(signed[:, 1])], names=["a", "b"])

@@ -80,6 +80,25 @@ def test_groups_match_all_pairs(spark, monkeypatch):
         assert [got[i] for i in ids] == want
 
 
+def test_large_keys_lose_no_link(spark, monkeypatch):
+    # in each key a chain whose neighbours alone are within the radius: between the groups of two leaders one link may be all there is
+    monkeypatch.setattr(H, "TILE", 4)
+    r = random.Random(5)
+    rows, chains = [], []
+    for key in range(40):
+        bits = r.sample(range(64), 60)
+        chain = [r.getrandbits(64)]
+        for k in range(0, 60, 3):
+            chain.append(chain[-1] ^ sum(1 << b for b in bits[k : k + 3]))
+        chains.append([f - (1 << 64) if f >> 63 else f for f in chain])
+        rows += [(key, f) for f in chains[-1]]
+    keyed = spark.createDataFrame(rows, "key long, fp long")
+    for leaders in (3, 8):
+        monkeypatch.setattr(H, "LEADERS", leaders)
+        nodes = {x.v: x.c for x in H.components(H.link_keyed(keyed, 4)).collect()}
+        assert [{nodes.get(f, f) for f in chain} for chain in chains] == [{min(chain)} for chain in chains]
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = docs.collect() + [(1000, None), (1001, ""), (1002, "Same Words here twice ok"), (1003, "same words\there twice ok")]
