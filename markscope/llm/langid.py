@@ -9,10 +9,10 @@ from the share of set bits. The language with the largest corrected share of n-g
 N-grams have 3 or 4 characters of lower-cased words with their ends marked; digits, symbols and white
 space only separate words. They are hashed to 64 bits.
 
-Fitting takes at most ``max_docs`` rows per language (a hash of the id decides, so the sample is
-stable) and keeps all n-grams that are typical of a language: counted at least ``MIN_COUNT`` times in the fitted rows and
-at least ``TYPICAL`` times as frequent there as in the language where they are most frequent. The model is bounded by the
-texts of the fitted rows: 24 bits of the table and 8 bytes on the driver for each of the n-grams they hold.
+Fitting takes all rows with a text and a language (``max_docs`` may bound them per language: a hash of the id decides, so the
+sample is stable) and keeps all n-grams that are typical of a language: counted at least ``MIN_COUNT`` times in the fitted rows and
+at least ``TYPICAL`` times as frequent there as in the language where they are most frequent. The model grows with the
+distinct n-grams of the fitted rows: 24 bits of the table and 8 bytes on the driver for each that is kept.
 
 Cases: a null text or one without a letter is ``und`` with score 0; if nothing can be learned every
 text is ``und``, and ``keep_identified`` keeps those with a letter; equal counts go to the smaller language name; whole texts are read in blocks.
@@ -20,17 +20,19 @@ text is ``und``, and ``keep_identified`` keeps those with a letter; equal counts
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut, pick
 
-MAX_DOCS = 4000
+#: Parts into which the shares from 0 to 1 are cut to find the limits.
+SHARE_STEPS = 1 << 16
 MIN_COUNT = 3
 TYPICAL = 0.5
 ORDERS = (3, 4)
@@ -173,16 +175,18 @@ def build_filter(kept: dict[str, np.ndarray], bits_per_gram: int = 24) -> Langua
     return LanguageFilter(langs, table.astype(np.uint8) if len(langs) <= 8 else table, np.minimum(fill**HASHES, 0.99))
 
 
-def _sample(labelled: DataFrame, text: str, lang: str, id_col: str, max_docs: int) -> DataFrame:
-    """(l, t): at most about ``max_docs`` rows a language that have a text."""
+def _fitting(labelled: DataFrame, text: str, lang: str, id_col: str, max_docs: int | None) -> DataFrame:
+    """(l, t): the rows that have a text and a language, with ``max_docs`` at most about so many a language."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("l is not null and t is not null")
+    if max_docs is None:
+        return rows.select("l", "t")
     # a row per language: broadcast, so that no text is dealt out, unless there are very many
     share = cut(rows.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*")).alias("share")))
     few = share.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     return rows.join(F.broadcast(share) if few else share, "l").where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("l", "t")
 
 
-def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> LanguageFilter:
+def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int | None = None) -> LanguageFilter:
     """Learn from the rows of ``labelled`` with a text and a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +199,8 @@ def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "la
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
-    sample = _sample(labelled, text, lang, id_col, max_docs)
-    counted = cut(sample.mapInArrow(count, "l string, g long, n long").groupBy("g", "l").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT))
+    rows = _fitting(labelled, text, lang, id_col, max_docs)
+    counted = cut(rows.mapInArrow(count, "l string, g long, n long").groupBy("g", "l").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT))
     # frequencies as shares of each language's n-grams
     totals = cut(counted.groupBy("l").agg(F.sum("n").cast("double").alias("s")))
     shares = counted.join(totals, "l").select("g", "l", (F.col("n") / F.col("s")).alias("f"))
@@ -204,32 +208,35 @@ def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "la
         shares.groupBy("g").agg(F.collect_list(F.struct("l", "f")).alias("x"), F.max("f").alias("m"))
         .select("g", F.transform(F.filter("x", lambda x: x["f"] >= TYPICAL * F.col("m")), lambda x: x["l"]).alias("ls")).select("g", F.explode("ls").alias("l"))
     )
-    # the model: 8 bytes an n-gram, bounded by the sample's texts
+    # the model: 8 bytes an n-gram
     got = typical.toArrow()
     names = got.column("l").combine_chunks().dictionary_encode()
     hashes, at = got.column("g").to_numpy().view(np.uint64), names.indices.to_numpy()
     return build_filter({name: np.sort(hashes[at == k]) for k, name in enumerate(names.dictionary.to_pylist())})
 
 
-def fit_limits(model: LanguageFilter, labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> LanguageFilter:
+def fit_limits(model: LanguageFilter, labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_docs: int | None = None) -> LanguageFilter:
     """``model`` with a limit on the corrected share per language, from the fitting rows that it puts in their own language.
 
     Where a language has no such row, the lowest limit of the others holds; without any there are no limits.
     """
     if not model.languages:
         return model
-    sample = _sample(labelled, text, lang, id_col, max_docs)
-    held = sample.sparkSession.sparkContext.broadcast(model)
+    rows = _fitting(labelled, text, lang, id_col, max_docs)
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             got = [(name, *m.best(t)) for name, t in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True)]
-            got = [(k, share) for name, k, share, _ in got if k is not None and m.languages[k] == name]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.float64())], names=["k", "share"])
-
-    low = sample.mapInArrow(run, "k int, share double").groupBy("k").agg(F.percentile_approx("share", LOW, 10_000).alias("share"))
-    got = {r["k"]: r["share"] * SHARE_PART for r in low.collect()}  # a row per language
+            seen = Counter((k, int(share * SHARE_STEPS)) for name, k, share, _ in got if k is not None and m.languages[k] == name)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.int32()) for i in (0, 1)] + [pa.array(seen.values(), pa.int64())], names=["k", "step", "n"])
+
+    # the step that holds the row after the lowest share LOW: counts add up exactly, in whatever order they come
+    steps = cut(rows.mapInArrow(run, "k int, step int, n long").groupBy("k", "step").agg(F.sum("n").alias("n")))
+    below = F.sum("n").over(Window.partitionBy("k").orderBy("step"))
+    low = steps.withColumn("below", below).join(F.broadcast(steps.groupBy("k").agg(F.sum("n").alias("all"))), "k").where(F.col("below") > F.floor(F.col("all") * F.lit(LOW)))
+    got = {r["k"]: r["step"] / SHARE_STEPS * SHARE_PART for r in low.groupBy("k").agg(F.min("step").alias("step")).collect()}  # a row per language
     if not got:
         return model
     return replace(model, least_share=np.array([got.get(k, min(got.values())) for k in range(len(model.languages))]))

@@ -46,6 +46,25 @@ def test_language_accuracy(spark):
     assert langid.identify_language(odd, langid.fit_language_filter(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_all_rows_are_fitted(spark):
+    # more rows a language than were once sampled: words of three rows each, and rows that are more or less like their language
+    r = random.Random(8)
+    made = lambda k, letters: ["".join(r.choices(letters, k=7)) for _ in range(k)]
+    rows, words = [], {"aa": made(2000, "abcdefghijklm"), "zz": made(2000, "nopqrstuvwxyz")}
+    for lang, own in words.items():
+        for k in range(6000):
+            rows.append((len(rows), " ".join([own[k // 3], *made(r.randrange(0, 4), "abcdefghijklmnopqrstuvwxyz")]), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit_language_filter(df)
+    for k, lang in enumerate(model.languages):
+        assert all(model.best(w)[:2] == (k, pytest.approx(1.0)) for w in words[lang])
+    got = langid.fit_limits(model, df).least_share
+    for k, lang in enumerate(model.languages):
+        shares = sorted(x[1] for x in (model.best(t) for _, t, own in rows if own == lang) if x[0] == k)
+        want = shares[int(len(shares) * langid.LOW)]
+        assert 0 <= want - got[k] / langid.SHARE_PART < 1.01 / langid.SHARE_STEPS
+
+
 def test_unlearned_languages_and_junk_go(spark):
     import corpus_pipeline as C
 
