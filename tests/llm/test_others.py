@@ -119,6 +119,23 @@ def test_url_model_keeps_all_pairs(spark):
     assert sum(t.count() for t in tables) == 500
 
 
+def test_url_model_counts_all_rows(spark, monkeypatch):
+    # more rows than were once sampled; each end stands in three of them, so that every one is learned from all rows only
+    r = random.Random(6)
+    made = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5)) for _ in range(20_000)]
+    rows = [(made[k // 3], k // 3 % 2 == 0) for k in range(60_000)]
+    df = spark.createDataFrame(rows, "u string, good boolean").repartition(4)
+    tables, threshold = url_filter.fit_ratio_model(df)
+    learned = {x + c for x, c in tables[4].select("x", "c").collect()}
+    assert all(w in learned for w in made)
+    # the same by tables that meet the positions in a shuffle
+    few = df.limit(2000)
+    urls = few.select("u", url_filter.F.monotonically_increasing_id().alias("_row"))
+    want = sorted(round(x.ratio, 9) for x in url_filter.ratio(urls, [], tables).collect())
+    monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", 10)
+    assert sorted(round(x.ratio, 9) for x in url_filter.ratio(urls, [], tables).collect()) == want
+
+
 def test_license_rules(spark):
     mit = license_scan.SENTENCES["MitGrant"][0]
     rows = [
