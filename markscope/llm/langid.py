@@ -11,7 +11,8 @@ space only separate words. They are hashed to 64 bits.
 
 Fitting takes all rows with a text and a language (``max_docs`` may bound them per language: a hash of the id decides, so the
 sample is stable) and keeps all n-grams that are typical of a language: counted at least ``MIN_COUNT`` times in the fitted rows and
-at least ``TYPICAL`` times as frequent there as in the language where they are most frequent. The model grows with the
+at least ``TYPICAL`` times as frequent there as in the language where they are most frequent. A task counts in bounded memory,
+whatever the number of its rows (``HELD``); Spark adds the counts up. The model grows with the
 distinct n-grams of the fitted rows: 24 bits of the table and 8 bytes on the driver for each that is kept.
 
 Cases: a null text or one without a letter is ``und`` with score 0; if nothing can be learned every
@@ -21,7 +22,7 @@ text is ``und``, and ``keep_identified`` keeps those with a letter; equal counts
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -46,6 +47,8 @@ SHARE_PART = 0.4
 BROADCAST_LANGUAGES = 10_000
 #: Characters handled at once.
 BLOCK = 1 << 20
+#: N-grams, and n-grams with their counts, that a fitting task holds at once (8 and 16 bytes each, and some times that while they are sorted).
+HELD = 1 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,6 +107,45 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _sum_counts(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, with the sum of its counts."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def gram_counts(rows: Iterable[tuple[str, str | None]]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, n-grams, counts) of rows of a language and a text, in bounded memory: an n-gram of a language may come several times, its counts add up."""
+    new: dict[str, list[np.ndarray]] = {}
+    counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    n_new = 0
+
+    def fold() -> None:
+        for name, parts in new.items():
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            if name in counted:
+                h, n = _sum_counts(np.concatenate((counted[name][0], h)), np.concatenate((counted[name][1], n)))
+            counted[name] = h, n
+        new.clear()
+
+    for name, text in rows:
+        if not has_letter(text):
+            continue
+        for block in text_blocks(text):
+            h = grams(block)
+            new.setdefault(name, []).append(h)
+            n_new += len(h)
+            if n_new >= HELD:
+                fold()
+                n_new = 0
+                if sum(len(h) for h, _ in counted.values()) >= HELD:
+                    yield from ((name, *x) for name, x in counted.items())
+                    counted.clear()
+    fold()
+    yield from ((name, *x) for name, x in counted.items())
+
+
 @dataclass
 class LanguageFilter:
     """``table``: one mask a slot, in words of 64 languages; ``fpr``: false positives per language."""
@@ -190,14 +232,9 @@ def fit_language_filter(labelled: DataFrame, text: str = "text", lang: str = "la
     """Learn from the rows of ``labelled`` with a text and a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[str, list[np.ndarray]] = {}
-            for name, t in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True):
-                if has_letter(t):
-                    held.setdefault(name, []).extend(grams(b) for b in text_blocks(t))
-            for name, parts in held.items():
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "g", "n"])
+        rows = (x for batch in batches for x in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True))
+        for name, h, n in gram_counts(rows):
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(h)), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
     rows = _fitting(labelled, text, lang, id_col, max_docs)
     counted = cut(rows.mapInArrow(count, "l string, g long, n long").groupBy("g", "l").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT))

@@ -1,7 +1,11 @@
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from markscope.llm import bpe, langid, license_scan, url_filter
@@ -65,6 +69,47 @@ def test_all_rows_are_fitted(spark):
         assert 0 <= want - got[k] / langid.SHARE_PART < 1.01 / langid.SHARE_STEPS
 
 
+def test_fitting_counts_in_bounded_memory(spark, monkeypatch):
+    # one batch of 8 million n-grams (64 MB of hashes before they are sorted), of which every third text is of the other language
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=2000)) for _ in range(360)] + [None, "", "12 !"]
+    langs = ["aa" if k % 3 else "zz" for k in range(len(texts))]
+    tasks, df = [], spark.createDataFrame([(1, "some words some words some words", "aa")], "doc_id long, text string, lang string")
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a: (tasks.append(f), real(self, f, *a))[1])
+    langid.fit_language_filter(df)
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], names=["l", "t"])
+    want, got = Counter(), Counter()
+    for lang, text in zip(langs, texts, strict=True):
+        want.update((lang, g) for g in langid.grams(text or "").view(np.int64).tolist())
+    tracemalloc.start()
+    try:
+        for b in tasks[0](iter([batch])):
+            for lang, g, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got[lang, g] += n
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == want
+    assert sum(want.values()) > 8_000_000 and peak < 100 << 20
+
+
+def test_gram_counts_given_out_in_parts(monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 50)
+    r = random.Random(10)
+    rows = [(r.choice(["aa", "zz"]), "".join(r.choices("abc ", k=30))) for _ in range(200)] + [("aa", None), ("zz", "7")]
+    want, got = Counter(), Counter()
+    for lang, text in rows:
+        want.update((lang, g) for g in langid.grams(text or "").tolist())
+    parts = list(langid.gram_counts(rows))
+    for lang, h, n in parts:
+        assert (np.diff(h.astype(object)) > 0).all()
+        got.update(dict(zip([(lang, g) for g in h.tolist()], n.tolist(), strict=True)))
+    assert got == want and len(parts) > 4
+    assert list(langid.gram_counts([])) == []
+
+
 def test_unlearned_languages_and_junk_go(spark):
     import corpus_pipeline as C
 
